@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, packing
+from eventloom.llm import bpe, packing, pii
 from eventloom.sources.tables import table
 
 #: Tokens of a container.
@@ -26,5 +26,13 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return w.withColumn("fill", F.col("n_tokens") / F.lit(CAPACITY))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_windows, p9_fill)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "documents"), table(spark, d, "person_names"))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"), table(spark, d, "person_names"))
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p9_windows, p9_fill, p10_found, p10_redacted)}
 ORACLE: dict[str, str] = {}
