@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.session import cut_lineage
+
 # The first word of event_type and the domain it belongs to.
 DOMAINS = {"order": "orders", "payment": "payments", "user": "users", "product": "products", "system": "system"}
 # The notations of schema_ref; group 1 is the domain, group 2 the version.
@@ -74,6 +76,14 @@ def records(raw_events: DataFrame) -> DataFrame:
     ).filter("fields is not null")
 
 
+def checked(contract: DataFrame) -> DataFrame:
+    """The contract, if it is small enough to go to every task: the payloads of a domain and
+    version are far too many to be gathered by that key."""
+    if contract.limit(MAX_CONTRACT_ROWS + 1).count() > MAX_CONTRACT_ROWS:
+        raise ValueError(f"a contract of more than {MAX_CONTRACT_ROWS} rows")
+    return contract
+
+
 def contract_sets(contract: DataFrame) -> DataFrame:
     """One row per (domain, version): its fields with types, the required ones, and all names the domain has in any version."""
     rows = contract.select(
@@ -107,7 +117,7 @@ def judged(raw_events: DataFrame, contract: DataFrame) -> DataFrame:
     names = F.transform("fields", lambda f: f["name"])
     listed = lambda f: F.map_contains_key("types", f["name"])
     nothing = F.array().cast("array<string>")
-    patterns = records(raw_events).join(contract_sets(contract), ["domain", "version"], "left").select(
+    patterns = records(raw_events).join(F.broadcast(contract_sets(contract)), ["domain", "version"], "left").select(
         "landing_file",
         "domain",
         "version",
@@ -134,7 +144,7 @@ def field_signatures(raw_events: DataFrame, contract: DataFrame) -> DataFrame:
     required = contract.filter("is_required").select(F.col("domain_name").alias("domain"), F.col("field_name").alias("name"), F.col("json_type").alias("kind")).distinct()
     per_domain = required.groupBy("domain").agg(F.map_from_entries(F.collect_set(F.struct("name", "kind"))).alias("types"))
     right = lambda f: F.element_at("types", f["name"]) == f["kind"]
-    seen = records(raw_events).join(per_domain, "domain").select("domain", F.explode(F.filter("fields", right)).alias("f"))
+    seen = records(raw_events).join(F.broadcast(per_domain), "domain").select("domain", F.explode(F.filter("fields", right)).alias("f"))
     return seen.select("domain", F.col("f.name").alias("name"), signature(F.col("f.kind"), F.col("f.value")).alias("sig")).distinct()
 
 
@@ -148,8 +158,9 @@ def changes(raw_events: DataFrame, contract: DataFrame) -> DataFrame:
     evidence wins, then the first by name; each name is used once. A null payload_version or an event type
     of no known domain counts as an unknown version.
     """
-    base = judged(raw_events, contract)
-    departed = base.filter("not known or ref_differs or size(missing) > 0 or size(extra) > 0 or size(retyped) > 0")
+    contract = checked(contract)
+    departed = judged(raw_events, contract).filter("not known or ref_differs or size(missing) > 0 or size(extra) > 0 or size(retyped) > 0")
+    departed = cut_lineage(departed)  # patterns per file, read five times below; the payloads are parsed once for them
     report = lambda df, field, change: df.select("landing_file", field.alias("field_name"), F.lit(change).alias("change"), "n")
 
     kinds = contract.select(F.col("domain_name").alias("domain"), F.col("payload_version").alias("version"), F.col("field_name").alias("missing_name"), F.col("json_type").alias("missing_kind"))
