@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.session import cut_lineage
+
 
 def weighted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, n): how often each key has each value. Nulls are a value of their own."""
@@ -46,7 +48,7 @@ def at_percentile(df: DataFrame, keys: list[str], value: str, tie: str, percent:
     wanted = F.floor((total * percent + 99) / 100).cast("bigint")
     bucket = _locate(counts, keys, ["_bucket"], wanted)
 
-    inside = rows.join(bucket, [*keys, "_bucket"]).withColumn("_prefix", F.substring(tie, 1, prefix))
+    inside = cut_lineage(rows.join(bucket, [*keys, "_bucket"]).withColumn("_prefix", F.substring(tie, 1, prefix)))
     finer = inside.groupBy(*keys, value, "_prefix").agg(F.count("*").alias("n"), F.max("_rank").alias("_wanted"))
     spot = _locate(finer, keys, [value, "_prefix"], F.col("_wanted")).withColumnRenamed("_rank", "_left")
 
