@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.plans import general
+from eventloom.plans import events, general
 
-MODULES = (general,)
+MODULES = (general, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
