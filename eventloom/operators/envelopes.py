@@ -45,22 +45,24 @@ def parse(records: DataFrame, value: str = "value") -> DataFrame:
     object_ = F.try_parse_json(raw)
     env = F.from_json(raw, _ENV)
     rest = [F.col(c) for c in records.columns if c != value]
-    parsed = records.select(*rest, raw.alias("raw_value"), env.alias("_e"), object_.alias("_v")).withColumn("is_malformed", F.coalesce(~F.schema_of_variant("_v").startswith("OBJECT"), F.lit(True)))
+    is_object = F.coalesce(F.schema_of_variant(object_).startswith("OBJECT"), F.lit(False))
+    # the generator keeps what follows from being rewritten into repeated parses of the text
+    read = F.array(F.struct(raw.alias("raw_value"), env.alias("_e"), (~is_object).alias("is_malformed"), F.get_json_object(raw, "$.payload").alias("_p")))
+    parsed = records.select(*rest, F.inline(read))
     text = lambda n: F.when(~F.col("is_malformed"), F.trim(F.col(f"_e.{n}")))
     ts = text("event_timestamp")
     filled = {"correlation_id": F.coalesce(text("correlation_id"), text("trace_id")), "idempotency_key": F.coalesce(text("idempotency_key"), text("event_id"))}
-    missing = F.array_compact(F.array(*[F.when(filled.get(n, text(n)).isNull(), F.lit(n)) for n in REQUIRED], F.when(F.get_json_object("raw_value", "$.payload").isNull(), F.lit("payload"))))
+    missing = F.array_compact(F.array(*[F.when(filled.get(n, text(n)).isNull(), F.lit(n)) for n in REQUIRED], F.when(F.col("_p").isNull(), F.lit("payload"))))
     fields = F.struct(
         "raw_value",
         "is_malformed",
         *[filled.get(n, text(n)).alias(n) for n in REQUIRED + OPTIONAL if n not in ("event_timestamp", "payload_version")],
         F.try_to_timestamp(ts).alias("event_timestamp"),
         text("payload_version").try_cast("int").alias("payload_version"),
-        F.when(~F.col("is_malformed"), F.get_json_object("raw_value", "$.payload")).alias("payload"),
+        F.when(~F.col("is_malformed"), F.col("_p")).alias("payload"),
         F.when(~F.col("is_malformed"), missing).otherwise(F.array().cast("array<string>")).alias("missing_fields"),
         F.coalesce(ts.isNotNull() & F.try_to_timestamp(ts).isNull(), F.lit(False)).alias("has_bad_timestamp"),
     )
-    # the generator keeps later filters from being rewritten into repeated parses of the text
     out = parsed.select(*rest, F.array(fields).alias("_r")).select(*rest, F.inline("_r"))
     return out.withColumn("is_structurally_valid", ~F.col("is_malformed") & (F.size("missing_fields") == 0) & ~F.col("has_bad_timestamp"))
 
