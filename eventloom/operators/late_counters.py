@@ -58,6 +58,23 @@ def merge(*states: DataFrame) -> DataFrame:
     return newest.select(*KEY, "newest.version", *[f"newest.{c}" for c in COUNTS])
 
 
+def advance(state: DataFrame, events: DataFrame, cutoff_seconds: int = 600, slot_seconds: int = 60) -> DataFrame:
+    """The state after a batch of first arrivals.
+
+    A batch holds whole slots; slots up to a source's version have been counted and are
+    skipped, so a batch may be applied again. Later ones continue from its counts.
+    """
+    fresh = snapshots(events, cutoff_seconds, slot_seconds)
+    base = state.select(*KEY, F.col("version").alias("_v"), *[F.col(c).alias(f"_{c}") for c in COUNTS])
+    # counts of the batch that lie at or before the known version are taken off again
+    joined = fresh.join(base, list(KEY), "left")
+    known = F.coalesce(F.col("_v"), F.lit(-(1 << 62)))
+    of = Window.partitionBy(*KEY)
+    seen = {c: F.coalesce(F.max(F.when(F.col("version") <= known, F.col(c))).over(of), F.lit(0)) for c in COUNTS}
+    counted = joined.select(*KEY, "version", known.alias("_k"), *[(F.col(c) - seen[c] + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in COUNTS])
+    return merge(state, counted.filter("version > _k").select(*KEY, "version", *COUNTS))
+
+
 def totals(state: DataFrame) -> DataFrame:
     """Figures per tenant and hour: the sum over sources. n_accepted leaves out the rejected."""
     summed = state.groupBy("tenant_id", "period").agg(*[F.sum(c).alias(c) for c in COUNTS], F.max("version").alias("last_slot"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.plans import events, general
+from eventloom.plans import events, general, serving
 
-MODULES = (general, events)
+MODULES = (general, events, serving)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
