@@ -360,8 +360,8 @@ class Proposer:
     def candidates(self, text: str) -> list[Candidate]:
         low = lower(text)
         out = [*self.emails(text, low), *self.phones(text), *self.addresses(text, low), *self.anchored(text, low)]
-        out.sort(key=lambda c: (c.start, c.end))
-        return out
+        once = {(c.start, c.end, c.kind): c for c in reversed(out)}
+        return [once[k] for k in sorted(once)]
 
 
 # Ordinary words that stand where a name part might.
