@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.functions.jsontext import object_map
+from eventloom.functions.once import once
 from eventloom.session import cut_lineage
 
 # The first word of event_type and the domain it belongs to.
@@ -49,9 +51,9 @@ def path_values(payload: Column) -> Column:
     """array<struct<name, kind, value>> of a JSON object's top-level fields; null for
     anything that isn't a valid JSON object. Nested values stay JSON text.
 
-    A text with more than one field of the same name isn't valid here.
+    Of fields with the same name each is listed.
     """
-    fields = F.map_entries(F.try_parse_json(payload).try_cast("map<string,variant>"))
+    fields = F.map_entries(object_map(payload, "variant"))
     return F.transform(
         fields,
         lambda e: F.struct(e["key"].alias("name"), raw_type(F.schema_of_variant(e["value"])).alias("kind"), e["value"].try_cast("string").alias("value")),
@@ -67,13 +69,14 @@ def signature(kind: Column, value: Column) -> Column:
 
 def records(raw_events: DataFrame) -> DataFrame:
     """landing_file, domain, version, schema_ref and fields of each payload that is a valid JSON object."""
-    return raw_events.select(
+    rows = raw_events.select(
         "landing_file",
         domain_of(F.split_part(F.col("event_type"), F.lit("."), F.lit(1))).alias("domain"),
         F.col("payload_version").alias("version"),
         "schema_ref",
-        path_values(F.col("payload")).alias("fields"),
-    ).filter("fields is not null")
+        "payload",
+    )
+    return once(rows, fields=path_values(F.col("payload"))).drop("payload").filter("fields is not null")
 
 
 def checked(contract: DataFrame) -> DataFrame:
@@ -235,8 +238,7 @@ def typed_table(raw_events: DataFrame, contract: DataFrame) -> DataFrame:
     that isn't a JSON object has nulls only and is_object false.
     """
     columns = contract_columns(contract)
-    parsed = F.try_parse_json("payload").try_cast("map<string,variant>")
-    rows = raw_events.select("event_id", "tenant_id", "event_type", "payload_version", "landing_file", parsed.alias("_p"))
+    rows = once(raw_events.select("event_id", "tenant_id", "event_type", "payload_version", "landing_file", "payload"), _p=object_map("payload", "variant"))
     value = {n: F.try_variant_get(F.element_at("_p", n), "$", SQL_TYPES[k]) for n, k in columns.items()}
     there = lambda n: F.element_at("_p", n).isNotNull() & ~F.is_variant_null(F.element_at("_p", n))
     failed = F.array_compact(F.array(*[F.when(there(n) & v.isNull(), F.lit(n)) for n, v in value.items()]))

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventloom.functions.jsontext import object_map
+from eventloom.functions.once import once
+
 # Fields of an envelope, the required ones first; event types; versions; required payload fields.
 REQUIRED = ("event_id", "tenant_id", "event_type", "event_timestamp", "source_service", "payload_version", "trace_id", "correlation_id", "idempotency_key")
 OPTIONAL = ("causation_id", "schema_ref")
@@ -42,13 +45,9 @@ def parse(records: DataFrame, value: str = "value") -> DataFrame:
     idempotency_key the event_id; ids are trimmed. A null value is malformed.
     """
     raw = F.col(value).cast("string")
-    object_ = F.try_parse_json(raw)
     env = F.from_json(raw, _ENV)
     rest = [F.col(c) for c in records.columns if c != value]
-    is_object = F.coalesce(F.schema_of_variant(object_).startswith("OBJECT"), F.lit(False))
-    # the generator keeps what follows from being rewritten into repeated parses of the text
-    read = F.array(F.struct(raw.alias("raw_value"), env.alias("_e"), (~is_object).alias("is_malformed"), F.get_json_object(raw, "$.payload").alias("_p")))
-    parsed = records.select(*rest, F.inline(read))
+    parsed = once(records, raw_value=raw, _e=env, is_malformed=object_map(raw).isNull(), _p=F.get_json_object(raw, "$.payload"))
     text = lambda n: F.when(~F.col("is_malformed"), F.trim(F.col(f"_e.{n}")))
     ts = text("event_timestamp")
     filled = {"correlation_id": F.coalesce(text("correlation_id"), text("trace_id")), "idempotency_key": F.coalesce(text("idempotency_key"), text("event_id"))}
@@ -63,7 +62,7 @@ def parse(records: DataFrame, value: str = "value") -> DataFrame:
         F.when(~F.col("is_malformed"), missing).otherwise(F.array().cast("array<string>")).alias("missing_fields"),
         F.coalesce(ts.isNotNull() & F.try_to_timestamp(ts).isNull(), F.lit(False)).alias("has_bad_timestamp"),
     )
-    out = parsed.select(*rest, F.array(fields).alias("_r")).select(*rest, F.inline("_r"))
+    out = parsed.select(*rest, F.inline(F.array(fields)))
     return out.withColumn("is_structurally_valid", ~F.col("is_malformed") & (F.size("missing_fields") == 0) & ~F.col("has_bad_timestamp"))
 
 
@@ -75,8 +74,8 @@ def domain(event_type: str | Column = "event_type") -> Column:
 
 def validate(parsed: DataFrame, versions: tuple[int, ...] = VERSIONS) -> DataFrame:
     """Adds domain, missing_payload_fields, reason (the first that applies, in the order of REASONS) and is_valid."""
-    with_domain = parsed.withColumn("domain", domain())
-    absent = lambda d: F.array_compact(F.array(*[F.when(F.get_json_object("payload", f"$.{n}").isNull(), F.lit(n)) for n in PAYLOAD_REQUIRED[d]]))
+    with_domain = once(parsed.withColumn("domain", domain()), _m=object_map("payload"))
+    absent = lambda d: F.array_compact(F.array(*[F.when(F.element_at("_m", n).isNull(), F.lit(n)) for n in PAYLOAD_REQUIRED[d]]))
     missing = reduce(lambda rest, d: F.when(F.col("domain") == d, absent(d)).otherwise(rest), PAYLOAD_REQUIRED, F.array().cast("array<string>"))
     flagged = with_domain.withColumn("missing_payload_fields", missing)
     tests = (
@@ -89,8 +88,7 @@ def validate(parsed: DataFrame, versions: tuple[int, ...] = VERSIONS) -> DataFra
         F.size("missing_payload_fields") > 0,
     )
     reason = F.coalesce(*[F.when(t, F.lit(r)) for t, r in zip(tests, REASONS)])
-    judged = flagged.withColumn("_r", F.array(F.struct(reason.alias("reason"), reason.isNull().alias("is_valid"))))
-    return judged.select(*flagged.columns, F.inline("_r"))
+    return once(flagged.drop("_m"), reason=reason, is_valid=reason.isNull())
 
 
 def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

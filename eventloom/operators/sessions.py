@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.functions.jsontext import object_map
+from eventloom.functions.once import once
 from eventloom.functions.timeparts import micros
 from eventloom.operators.firsts import first_arrivals
 from eventloom.tenancy import key_of
@@ -24,11 +26,11 @@ def user_events(raw_events: DataFrame) -> DataFrame:
     payload.session_id. A payload that isn't valid JSON has neither. Events without an
     actor are left out; of copies the first arrival that names an actor decides.
     """
-    payload = F.try_parse_json("payload")
-    user = key_of(F.try_variant_get(payload, "$.user_id", "string"))
-    session = F.try_variant_get(payload, "$.session_id", "string")
+    user = key_of(F.element_at("_p", "user_id"))
+    session = F.element_at("_p", "session_id")
     anon = F.when(F.trim(session) != "", F.concat(F.lit("anon:"), session))
-    rows = raw_events.filter(F.col("event_type").startswith("user."))
+    used = raw_events.filter(F.col("event_type").startswith("user.")).select("tenant_id", "event_id", "event_timestamp", "ingested_at", "payload")
+    rows = once(used, _p=object_map("payload"))
     return first_arrivals(rows, actor=F.coalesce(user, anon)).filter("actor is not null")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.functions.jsontext import object_map
 from eventloom.operators import envelopes, event_time, upserts
 from eventloom.sources.tables import table
 from eventloom.tenancy import allowed, key_of, scoped
@@ -78,7 +79,7 @@ def idempotent_ids(spark, d):
 
 def event_routing(spark, d):
     ev = table(spark, d, "raw_events").filter("payload is not null and tenant_id is not null")
-    ev = ev.filter(F.try_parse_json("payload").isNotNull())
+    ev = ev.filter(object_map("payload").isNotNull())
     return ev.select("event_id", "ingested_at", F.concat(envelopes.domain(), F.lit(".events")).alias("topic"), envelopes.partition_key().alias("partition_key"))
 
 

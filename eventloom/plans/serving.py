@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eventloom.functions.jsontext import object_map
+from eventloom.functions.once import once
 from eventloom.operators import skew
 from eventloom.sources.tables import table
 from eventloom.tenancy import key_of
@@ -22,9 +24,8 @@ from eventloom.tenancy import key_of
 
 def sessions_view(spark: SparkSession, d: str) -> DataFrame:
     """Typed user events; an absent or empty session id becomes ``sessionless:<user>``."""
-    p = F.try_parse_json("payload")
-    get = lambda f, t="string": F.try_variant_get(p, f"$.{f}", t)
-    rows = table(spark, d, "raw_events").filter("event_type like 'user.%' and event_timestamp is not null")
+    get = lambda f, t="string": F.element_at("_p", f).try_cast(t)
+    rows = once(table(spark, d, "raw_events").filter("event_type like 'user.%' and event_timestamp is not null"), _p=object_map("payload"))
     out = rows.select(
         key_of("tenant_id").alias("tenant_id"), "event_id", "event_type", "event_timestamp", "ingested_at", get("user_id").alias("user_id"), F.nullif(get("session_id"), F.lit("")).alias("session_id"), get("page").alias("page"), get("duration_seconds", "bigint").alias("duration_seconds")
     ).filter("tenant_id is not null and user_id is not null")
@@ -32,9 +33,8 @@ def sessions_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 def health_view(spark: SparkSession, d: str) -> DataFrame:
-    p = F.try_parse_json("payload")
-    get = lambda f, t="string": F.try_variant_get(p, f"$.{f}", t)
-    rows = table(spark, d, "raw_events").filter("event_type like 'system.%' and event_timestamp is not null")
+    get = lambda f, t="string": F.element_at("_p", f).try_cast(t)
+    rows = once(table(spark, d, "raw_events").filter("event_type like 'system.%' and event_timestamp is not null"), _p=object_map("payload"))
     return rows.select(key_of("tenant_id").alias("tenant_id"), "event_id", "event_timestamp", "ingested_at", get("service_name").alias("service_name"), get("status").alias("status"), get("latency_ms", "double").alias("latency_ms")).filter("tenant_id is not null and service_name is not null")
 
 
