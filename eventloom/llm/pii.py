@@ -103,6 +103,8 @@ _AFTER = re.compile(r"[*_\"')<>/]*(?:b>|br/>|strong>)?[ ,;:.?!(]*(" + "|".join(m
 _MAIL_AFTER = re.compile(r"[*_\"')]*(?:</b>)?(?:<br/>)?[ ,;:/(<]*[\w.+%-]+ ?(?:@|\[at\]|\(at\)| at [\w-]+ dot )", re.I)
 _PHONE_AFTER = re.compile(r"[*_\"')]*(?:</b>)?(?:<br/>)?[ ,;:/(\n]*(?:on |at |unter |al |au |phone=)?(?:\+|\(|00|0|1[ -])?\d[\d (). -]{7,}")
 _HOUSE_AFTER = re.compile(r"(?:</b>)?(?:<br/>)?[,;/]? ?\n?\d{1,5}[A-Za-z]? ")
+_SPANISH_AFTER = re.compile(rf"(?:</b>)?(?:<br/>)?[,;/]? ?\n?(?:{'|'.join(map(re.escape, SPANISH_ROADS))})(?!\w)", re.I)
+_GERMAN_AFTER = re.compile(rf"(?:</b>)?(?:<br/>)?[,;/]? ?\n?(?:(?:am|an|auf|im|zum|zur)(?: (?:der|dem|den))? )?(?:{_L}[\w-]* )?{_L}*(?:{'|'.join(map(re.escape, _GERMAN_ROADS))}) \d", re.I)
 _SIGN_OFF = re.compile(r"(?:--|grüßen|regards|saludo|saludos|cordialement|wishes|thanks|dank|sincerely|atentamente|merci|gracias)[,.]?[ \r]*\n+[ >*]*$", re.I)
 _PHONE_CUE = re.compile(r"(?:phone|tel\w*\.?|ring|text|call|number is|nummer ist|número nuevo es|numéro est|(?:^|\W)(?:on|at|unter|al|au|/|;|,)|電話|encore|noch|siguen|contains|and|und|y|et|new number|mobile|cell|fax)[ :=`\"]*$", re.I)
 _NUMBER_CUE = re.compile(r"(?:offsets?|epoch|ts=|order|#|record|records|sku|pallet|carton no\.|ticket|to|part-?|passed|trace|version|ref|no\.|checksum|batch|partition|eur|usd|\$)[ :=(\"]*$", re.I)
@@ -298,11 +300,9 @@ class Proposer:
                 if not m or m.span() in seen or (s and (text[s - 1].isalnum() or text[s - 1] in "-_'’@" and form != "initial")):
                     continue
                 seen.add(m.span())
-                f = self._name_features(text, m, form)
-                if f:
-                    yield Candidate(m.start(), m.end(), "name", f)
+                yield Candidate(m.start(), m.end(), "name", self._name_features(text, m, form))
 
-    def _name_features(self, text: str, m: re.Match, form: str) -> list[str] | None:
+    def _name_features(self, text: str, m: re.Match, form: str) -> list[str]:
         s, e = m.span()
         given, family = m.group("g"), m.group("f")
         g, fam = lower(given), lower(family)
@@ -315,10 +315,8 @@ class Proposer:
         tail = _AFTER.match(after)
         sign = bool(_SIGN_OFF.search(before))
         mail = bool(_MAIL_AFTER.match(after))
-        if not (in_g or in_f or cue or tail or sign or mail):
-            line = not before or before[-1] == "\n"
-            if not line:
-                return None
+        if not (in_g or in_f or cue or tail or sign or mail) and before and before[-1] != "\n":
+            return self._bare_features(form, m, before, after)
         case = _case(given.strip(".")) + _case(family)
         known = f"{int(in_g)}{int(in_f)}"
         f = ["n", f"n:{form}", f"n:{form}:{known}", f"n:known{known}", f"n:case{case}", f"n:{known}:{case}"]
@@ -357,6 +355,33 @@ class Proposer:
             f += ["n:m", f"n:m:{tail.group(1).lower() if tail else 'sign' if sign else ''}"]
         return f
 
+    def _bare_features(self, form: str, m: re.Match, before: str, after: str) -> list[str]:
+        """Of a span for which no word speaks: weights of its own, with what opens it and what follows."""
+        given, family = m.group("g"), m.group("f")
+        left = before.rstrip()
+        opens = left[-1:]
+        if opens.isalnum():
+            opens = f"word{_case(left.rsplit(None, 1)[-1])}"
+        elif opens == "." and left[-2:-1].isalpha() and not left[-3:-2].isalnum():
+            opens = "initial"
+        follows = "road" if _SPANISH_AFTER.match(after) else "none"
+        if any(map(str.isdigit, after)):
+            follows = "house" if _HOUSE_AFTER.match(after) else "phone" if _PHONE_AFTER.match(after) else "road" if follows == "road" or _GERMAN_AFTER.match(after) else "none"
+        case = _case(given.strip(".")) + _case(family)
+        f = ["bare", f"bare:{form}", f"bare:case{case}", f"bare:opens:{opens}", f"bare:follows:{follows}", f"bare:{opens}:{follows}", f"bare:{form}:{opens}:{follows}", f"bare:case{case}:{follows}", f"bare:next:{after[:1]}"]
+        if left.rstrip(".,:;>")[-1:].isdigit():
+            f.append("bare:number")
+        g, fam = lower(given), lower(family)
+        if g in _COMMON:
+            f += ["bare:common", f"bare:g:{g}"]
+        if fam in _COMMON:
+            f += ["bare:common", f"bare:f:{fam}"]
+        if fam in self.given or g in self.family:
+            f.append("bare:swapped")
+        if m.group("m"):
+            f.append("bare:middle")
+        return f
+
     def candidates(self, text: str) -> list[Candidate]:
         low = lower(text)
         out = [*self.emails(text, low), *self.phones(text), *self.addresses(text, low), *self.anchored(text, low)]
@@ -487,11 +512,11 @@ def fit(sentences: list[tuple[str, list[tuple[int, int, str]]]], proposer: Propo
 
 @lru_cache(maxsize=4)
 def trained(given: tuple[str, ...], family: tuple[str, ...], seed: int = 7, n: int = 2400) -> str:
-    """Weights for a directory, as JSON: fitted once per driver on ``n`` generated sentences."""
+    """Weights for a directory, as JSON: fitted once per driver on ``n`` generated sentences and a tenth as many with names that no word announces."""
     from eventloom.llm import pii_training
 
     proposer = Proposer(given, family)
-    return json.dumps(fit(pii_training.sentences(given, family, seed, n), proposer))
+    return json.dumps(fit(pii_training.sentences(given, family, seed, n) + pii_training.unannounced(given, family, seed, n // 10), proposer))
 
 
 @lru_cache(maxsize=4)

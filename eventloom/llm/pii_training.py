@@ -168,6 +168,13 @@ The courier could not find {A}{U}
 注文 ORD/13862 の {N} 様、{E} まで。
 """.strip().splitlines()
 
+# Carriers in which no word announces the name; they stand behind a sentence or a speaker.
+UNANNOUNCED = """
+{N}, {A}{U}, {P}
+{N}, {A}{T}, {P}
+<b>{N}</b><br/>{A}{U}<br/>{P}
+""".strip().splitlines()
+
 # Look-alikes without personal data.
 PLAIN = """
 The Summer Lane campaign doubled churn signals for amber-goods-00096 within 138 hours.
@@ -342,8 +349,10 @@ class Maker:
         return f"{r.choice(ES)}{r.choice((', ', ' n.º ', ' '))}{r.randrange(1, 150)}"
 
     def sentence(self) -> tuple[str, list[tuple[int, int, str]]]:
+        return self.filled(self.r.choice(CARRIERS).replace("\\n", "\n") if self.r.random() < 0.72 else self.r.choice(PLAIN))
+
+    def filled(self, carrier: str) -> tuple[str, list[tuple[int, int, str]]]:
         text, spans = "", []
-        carrier = self.r.choice(CARRIERS).replace("\\n", "\n") if self.r.random() < 0.72 else self.r.choice(PLAIN)
         for part in re.split(r"(\{[NFEPIAUT]\})", carrier):
             kind = {"{N}": "name", "{E}": "email", "{P}": "phone", "{A}": "address", "{I}": "id_number"}.get(part)
             if part == "{F}":
@@ -380,3 +389,14 @@ def sentences(given: tuple[str, ...], family: tuple[str, ...], seed: int, n: int
             text += t
         out.append((text, spans))
     return out
+
+
+def unannounced(given: tuple[str, ...], family: tuple[str, ...], seed: int, n: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """``n`` texts in which a name follows a sentence or a speaker, and only an address or phone number follows it."""
+    m = Maker(given, family, seed)
+    out = []
+    for _ in range(n):
+        head = m.r.choice(PLAIN) + m.r.choice((" ", "  ", "\n[16:54] oncall-1: ", "\n[05:20] desk: "))
+        text, spans = m.filled(m.r.choice(UNANNOUNCED))
+        out.append((head + text, [(a + len(head), b + len(head), k) for a, b, k in spans]))
+    return out

@@ -30,6 +30,18 @@ def test_segments(model, text, want):
     assert {(k, text[s:e]) for s, e, k in model.spans(text)} == want
 
 
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("The note explains the gap of EUR 64250.21. Wystan Wojtarski, 1462B Larchmere Dr., 412-555-0179", "Wystan Wojtarski"),
+        ("[19:26] oncall-1: Fenna Tanabero, 317 Pell Hollow Lane, 01.99.00.84.12", "Fenna Tanabero"),
+        ("Re: ord-001467347 <b>A. Ruskwick</b><br/>691 West Ember Avenue", "A. Ruskwick"),
+    ],
+)
+def test_names_that_no_word_announces(model, text, name):
+    assert ("name", name) in {(k, text[s:e]) for s, e, k in model.spans(text)}
+
+
 def test_held_out_accuracy(model):
     hit = found = true = 0
     for text, gold in pii_training.sentences(GIVEN, FAMILY, seed=99, n=500):
