@@ -95,7 +95,8 @@ def dlq_inspect(spark, d):
 
 
 def dlq_replay(spark, d):
-    bad = _validated(spark, d).filter("reason = 'unsupported_payload_version'")
+    _, invalid = envelopes.split(_validated(spark, d))
+    bad = invalid.filter("not is_malformed")
     out = envelopes.replay(envelopes.inspect_dead_letters(envelopes.dead_letters(bad)), F.lit("2018-02-01 00:00:00").cast("timestamp_ntz"))
     return out.select("event_id", "causation_id", "event_type", "event_timestamp")
 

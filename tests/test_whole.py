@@ -1,0 +1,22 @@
+"""Queries whose SQL covers less than the job, against SQL over the whole job."""
+
+from pathlib import Path
+
+import pytest
+
+import parity
+from eventloom.plans import events, registry
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
+
+WHOLE = {
+    # the record's ids are trimmed; a record without an id has neither new id nor causation
+    "dlq_replay": f"WITH {events._PARSED} SELECT 'replay_' || substring(sha256(event_id), 1, 24) AS event_id, event_id AS causation_id, event_type, TIMESTAMP '2018-02-01' AS event_timestamp FROM reasons WHERE reason IS NOT NULL AND NOT bad",
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole(spark, name):
+    ok, note = parity.compare(spark, parity.connect(FOLDER), registry.queries()[name], WHOLE[name], FOLDER)
+    assert ok, note
