@@ -13,7 +13,11 @@ pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test table
 WHOLE = {
     # the record's ids are trimmed; a record without an id has neither new id nor causation
     "dlq_replay": f"WITH {events._PARSED} SELECT 'replay_' || substring(sha256(event_id), 1, 24) AS event_id, event_id AS causation_id, event_type, TIMESTAMP '2018-02-01' AS event_timestamp FROM reasons WHERE reason IS NOT NULL AND NOT bad",
+    "metric_customers": """SELECT m.tenant_id, m.metric_date, m.new_users, CAST((SELECT sum(x.new_users) FROM one x WHERE x.tenant_id = m.tenant_id AND x.metric_date <= m.metric_date) AS BIGINT) AS cumulative_customers FROM one m""",
+    "metric_marketing_roi": """SELECT tenant_id, coalesce(marketing_campaign_id, 'unattributed') AS campaign_id, count(*) AS order_count, CAST(sum(net_revenue) AS DECIMAL(18,2)) AS attributed_revenue
+      FROM (SELECT DISTINCT ON (tenant_id, order_id) * FROM processed_orders ORDER BY tenant_id, order_id, updated_at DESC, event_id DESC, status) GROUP BY 1, 2""",
 }
+WHOLE["metric_customers"] = "WITH one AS (SELECT DISTINCT ON (tenant_id, metric_date) * FROM tenant_metrics_daily ORDER BY tenant_id, metric_date, updated_at DESC, net_revenue DESC NULLS LAST) " + WHOLE["metric_customers"]
 
 
 @pytest.mark.parametrize("name", sorted(WHOLE))
