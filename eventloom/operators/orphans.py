@@ -65,12 +65,49 @@ def orphaned(state: DataFrame) -> DataFrame:
     return state.select("relation", "tenant_id", "child_id").distinct()
 
 
-def open_counts(state: DataFrame, period: str = "day") -> DataFrame:
-    """Snapshot per (relation, period): orphans opened, resolved and reopened in it, and left open at its end."""
-    when = lambda c: F.date_trunc(period, c).cast("timestamp_ntz")
-    step = lambda kind, at: F.struct(F.lit(kind).alias("kind"), when(at).alias("period"))
-    steps = state.select("relation", F.explode(F.array(step("opened", "ref_at"), step("resolved", "resolved_at"), step("reopened", "reopened_at"))).alias("s"))
-    count = lambda kind: F.count_if(F.col("s.kind") == kind).alias(f"n_{kind}")
-    per = steps.filter("s.period is not null").groupBy("relation", F.col("s.period").alias("period")).agg(count("opened"), count("resolved"), count("reopened"))
+def _alternating(changes: Column, before: Column) -> Column:
+    """Sorted changes without those that leave a key as it was; ``before`` is its state before the first."""
+    return F.filter(changes, lambda c, i: ~c["alive"].eqNullSafe(F.coalesce(F.get(changes, i - 1)["alive"], before)))
+
+
+def lifetimes(came: DataFrame, went: DataFrame) -> DataFrame:
+    """One row per key with its ``changes``, arrival and deletion in turn, by time; of a deletion and an arrival at once the arrival is the later.
+
+    Changes are reduced per day and then per key, so a key with many arrivals is no long array.
+    """
+    rows = came.withColumn("alive", F.lit(True)).unionByName(went.withColumn("alive", F.lit(False)))
+    days = rows.groupBy(*KEY, F.to_date("at").alias("day")).agg(F.sort_array(F.collect_set(F.struct("at", "alive"))).alias("c"))
+    days = days.select(*KEY, _alternating(F.col("c"), F.lit(None).cast("boolean")).alias("c"))
+    whole = days.groupBy(*KEY).agg(F.sort_array(F.flatten(F.collect_list("c"))).alias("c"))
+    return whole.select(*KEY, _alternating(F.col("c"), F.lit(False)).alias("changes"))
+
+
+def life_steps(refs: DataFrame, lives: DataFrame) -> DataFrame:
+    """(relation, kind, at): each reference is open whenever its parent isn't alive, from its own time on.
+
+    The first time is ``opened``, be it at the reference or when the parent is deleted
+    later; an arrival then is ``resolved`` and a further deletion ``reopened``.
+    """
+    probed = refs.join(lives, list(KEY), "left").withColumn("changes", F.coalesce("changes", F.array().cast("array<struct<at:timestamp_ntz,alive:boolean>>")))
+    known = F.coalesce(F.get(F.filter("changes", lambda c: c["at"] <= F.col("ref_at")), F.size(F.filter("changes", lambda c: c["at"] <= F.col("ref_at"))) - 1)["alive"], F.lit(False))
+    step = lambda kind, at: F.struct(kind.alias("kind"), at.alias("at"))
+    later = F.transform(
+        F.filter("changes", lambda c: c["at"] > F.col("ref_at")),
+        lambda c, i: step(F.when(c["alive"], F.lit("resolved")).when(F.col("known") & (i == 0), F.lit("opened")).otherwise(F.lit("reopened")), c["at"]),
+    )
+    own = F.when(F.col("known"), F.array().cast("array<struct<kind:string,at:timestamp_ntz>>")).otherwise(F.array(step(F.lit("opened"), F.col("ref_at"))))
+    return probed.withColumn("known", known).select("relation", F.inline(F.concat(own, later)))
+
+
+def step_counts(steps: DataFrame, period: str = "day") -> DataFrame:
+    """Snapshot per (relation, period), as :func:`open_counts`, of steps (relation, kind, at)."""
+    count = lambda kind: F.count_if(F.col("kind") == kind).alias(f"n_{kind}")
+    per = steps.filter("at is not null").groupBy("relation", F.date_trunc(period, "at").cast("timestamp_ntz").alias("period")).agg(count("opened"), count("resolved"), count("reopened"))
     running: Column = F.sum(F.col("n_opened") - F.col("n_resolved") + F.col("n_reopened")).over(Window.partitionBy("relation").orderBy("period").rowsBetween(Window.unboundedPreceding, 0))
     return per.withColumn("n_open", running)
+
+
+def open_counts(state: DataFrame, period: str = "day") -> DataFrame:
+    """Snapshot per (relation, period): orphans opened, resolved and reopened in it, and left open at its end."""
+    step = lambda kind, at: F.struct(F.lit(kind).alias("kind"), F.col(at).alias("at"))
+    return step_counts(state.select("relation", F.inline(F.array(step("opened", "ref_at"), step("resolved", "resolved_at"), step("reopened", "reopened_at")))), period)

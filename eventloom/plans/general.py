@@ -56,16 +56,17 @@ def p4_failed_casts(spark: SparkSession, d: str) -> DataFrame:
     return typed.select("event_type", F.explode("failed_casts").alias("field_name")).groupBy("event_type", "field_name").agg(F.count("*").alias("n_failed"))
 
 
-def orphan_state(spark: SparkSession, d: str, deletions: bool = False) -> DataFrame:
+def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(references, arrivals of their parents as stored)."""
     orders, payments = table(spark, d, "processed_orders"), table(spark, d, "processed_payments")
     refs = orphans.references(orders, "processed_orders", "order_id", "product_id").unionByName(orphans.references(payments, "processed_payments", "payment_id", "order_id"))
     came = orphans.arrivals(table(spark, d, "tenant_products"), "processed_orders", "product_id").unionByName(orphans.arrivals(orders, "processed_payments", "order_id"))
-    went = None
-    if deletions:
-        feed = table(spark, d, "product_changes")
-        gone = feed.filter(F.lower(F.trim("op")).isin(*changefeed.DELETES))
-        went = orphans.arrivals(gone, "processed_orders", "product_id", "changed_at")
-    return orphans.advance(None, orphans.advance_index(None, came, went), refs)
+    return refs, came
+
+
+def orphan_state(spark: SparkSession, d: str) -> DataFrame:
+    refs, came = _references(spark, d)
+    return orphans.advance(None, orphans.advance_index(None, came), refs)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +74,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_open_by_day(spark: SparkSession, d: str) -> DataFrame:
-    per = orphans.open_counts(orphan_state(spark, d, deletions=True))
+    refs, came = _references(spark, d)
+    feed = table(spark, d, "product_changes")
+    named = lambda ops: orphans.arrivals(feed.filter(F.lower(F.trim("op")).isin(*ops)), "processed_orders", "product_id", "changed_at")
+    lives = orphans.lifetimes(came.unionByName(named(changefeed.UPSERTS)), named(changefeed.DELETES))
+    per = orphans.step_counts(orphans.life_steps(refs, lives))
     return per.select(F.col("relation").alias("child_table"), day_text(F.col("period")).alias("period"), "n_opened", "n_resolved", "n_reopened", "n_open")
 
 

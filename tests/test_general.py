@@ -177,6 +177,21 @@ def test_orphans_open_resolve_reopen(spark):
     assert [(r.n_opened, r.n_resolved, r.n_reopened, r.n_open) for r in orphans.open_counts(after).collect()] == [(3, 2, 1, 2)]
 
 
+def test_orphans_of_parents_deleted_later_or_before(spark):
+    key = "relation string, tenant_id string, ref_key string, at timestamp_ntz"
+    refs = spark.createDataFrame([("o", "t", "k", c, at(s)) for c, s in (("early", 5), ("alive", 20), ("after", 70), ("again", 90))] + [("o", "t", "none", "x", at(1))], "relation string, tenant_id string, ref_key string, child_id string, ref_at timestamp_ntz")
+    came = spark.createDataFrame([("o", "t", "k", at(s)) for s in (10, 15, 80)], key)
+    went = spark.createDataFrame([("o", "t", "k", at(s)) for s in (3, 60, 100)] + [("o", "t", "none", at(9))], key)
+    steps = sorted((r.at, r.kind) for r in orphans.life_steps(refs, orphans.lifetimes(came, went)).collect())
+    assert steps == sorted(
+        [(at(1), "opened")]
+        + [(at(5), "opened"), (at(10), "resolved"), (at(60), "reopened"), (at(80), "resolved"), (at(100), "reopened")]
+        + [(at(60), "opened"), (at(80), "resolved"), (at(100), "reopened")]
+        + [(at(70), "opened"), (at(80), "resolved"), (at(100), "reopened")]
+        + [(at(100), "opened")]
+    )
+
+
 FEED = "change_no bigint, tenant_id string, product_id string, event_id string, op string, sku string, name string, category string, price decimal(14,2), inventory_delta int, active boolean, changed_at timestamp_ntz"
 
 
