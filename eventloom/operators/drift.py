@@ -106,49 +106,54 @@ def _ref(schema_ref: Column) -> tuple[Column, Column]:
     return domain_of(part(1)), part(2).try_cast("int")
 
 
-def judged(raw_events: DataFrame, contract: DataFrame) -> DataFrame:
-    """Path-type statistics: n records per (file, domain, version) and pattern of departures.
+_PATTERN = (
+    "landing_file string, domain string, version int, known boolean, ref_differs boolean, missing array<string>, "
+    "extra array<struct<name:string,kind:string,sig:string,elsewhere:boolean>>, retyped array<string>"
+)
+_MARK = "\u0001"
+
 
-    missing: required names that are absent. extra: fields not listed, with signature.
-    retyped: listed names whose non-null value has another type. ref_differs: schema_ref
-    names another domain or version; one in no known notation names neither. Records
-    without any departure are counted with empty arrays.
+def observed(raw_events: DataFrame, contract: DataFrame) -> DataFrame:
+    """Path-type statistics of one pass over the payloads: (what, n).
+
+    A ``what`` that begins with p is a pattern of departures of a file, as JSON: missing
+    (required names that are absent), extra (fields not listed, with signature), retyped
+    (listed names whose non-null value has another type), ref_differs (schema_ref names
+    another domain or version; one in no known notation names neither). Records without
+    any departure have none. One that begins with s is a signature under which a
+    required field's values of the right type stand somewhere: domain, name, signature.
+    Both are counted before the shuffle, so only distinct ones move.
     """
     ref_domain, ref_version = _ref(F.col("schema_ref"))
     differs = (~ref_domain.eqNullSafe(F.col("domain")) | ~ref_version.eqNullSafe(F.col("version"))) & ref_domain.isNotNull()
-    known = F.col("types").isNotNull()
     names = F.transform("fields", lambda f: f["name"])
     listed = lambda f: F.map_contains_key("types", f["name"])
     nothing = F.array().cast("array<string>")
-    patterns = records(raw_events).join(F.broadcast(contract_sets(contract)), ["domain", "version"], "left").select(
+    required = contract.filter("is_required").select(F.col("domain_name").alias("domain"), F.col("field_name").alias("name"), F.col("json_type").alias("kind")).distinct()
+    signed = required.groupBy("domain").agg(F.map_from_entries(F.collect_set(F.struct("name", "kind"))).alias("signed"))
+    rows = records(raw_events).join(F.broadcast(contract_sets(contract)), ["domain", "version"], "left").join(F.broadcast(signed), "domain", "left")
+    flagged = rows.select(
         "landing_file",
         "domain",
         "version",
-        known.alias("known"),
+        F.col("types").isNotNull().alias("known"),
         F.coalesce(differs, F.lit(False)).alias("ref_differs"),
-        F.when(known, F.array_except("required", names)).otherwise(nothing).alias("missing"),
-        F.when(
-            known,
-            F.transform(
-                F.filter("fields", lambda f: ~listed(f)),
-                lambda f: F.struct(f["name"].alias("name"), f["kind"].alias("kind"), signature(f["kind"], f["value"]).alias("sig"), F.array_contains("all_names", f["name"]).alias("elsewhere")),
-            ),
+        F.coalesce(F.array_except("required", names), nothing).alias("missing"),
+        F.transform(
+            F.filter("fields", lambda f: ~listed(f)),
+            lambda f: F.struct(f["name"].alias("name"), f["kind"].alias("kind"), signature(f["kind"], f["value"]).alias("sig"), F.array_contains("all_names", f["name"]).alias("elsewhere")),
         ).alias("extra"),
-        F.when(
-            known, F.transform(F.filter("fields", lambda f: listed(f) & (f["kind"] != "null") & (f["kind"] != F.element_at("types", f["name"]))), lambda f: f["name"])
-        ).otherwise(nothing).alias("retyped"),
+        F.coalesce(F.transform(F.filter("fields", lambda f: listed(f) & (f["kind"] != "null") & (f["kind"] != F.element_at("types", f["name"]))), lambda f: f["name"]), nothing).alias("retyped"),
+        F.transform(
+            F.filter("fields", lambda f: F.element_at("signed", f["name"]) == f["kind"]), lambda f: F.concat_ws(_MARK, F.lit("s"), "domain", f["name"], signature(f["kind"], f["value"]))
+        ).alias("sigs"),
     )
-    keys = ["landing_file", "domain", "version", "known", "ref_differs", "missing", "extra", "retyped"]
-    return patterns.groupBy(*keys).agg(F.count("*").alias("n"))
-
-
-def field_signatures(raw_events: DataFrame, contract: DataFrame) -> DataFrame:
-    """(domain, name, sig): the signatures under which each required field's values of the right type stand anywhere in the corpus."""
-    required = contract.filter("is_required").select(F.col("domain_name").alias("domain"), F.col("field_name").alias("name"), F.col("json_type").alias("kind")).distinct()
-    per_domain = required.groupBy("domain").agg(F.map_from_entries(F.collect_set(F.struct("name", "kind"))).alias("types"))
-    right = lambda f: F.element_at("types", f["name"]) == f["kind"]
-    seen = records(raw_events).join(F.broadcast(per_domain), "domain").select("domain", F.explode(F.filter("fields", right)).alias("f"))
-    return seen.select("domain", F.col("f.name").alias("name"), signature(F.col("f.kind"), F.col("f.value")).alias("sig")).distinct()
+    # the flags are computed once a row, though the test and the text both use them
+    once_flagged = flagged.select("sigs", F.inline(F.array(F.struct(*[c for c in flagged.columns if c != "sigs"]))))
+    departs = ~F.col("known") | F.col("ref_differs") | (F.size("missing") > 0) | (F.size("extra") > 0) | (F.size("retyped") > 0)
+    pattern = F.when(departs, F.concat(F.lit("p"), F.to_json(F.struct(*[c for c in flagged.columns if c != "sigs"]))))
+    tags = F.concat(F.coalesce("sigs", nothing), F.array_compact(F.array(pattern)))
+    return once_flagged.select(F.explode(tags).alias("what")).groupBy("what").agg(F.count("*").alias("n"))
 
 
 def changes(raw_events: DataFrame, contract: DataFrame) -> DataFrame:
@@ -162,8 +167,8 @@ def changes(raw_events: DataFrame, contract: DataFrame) -> DataFrame:
     of no known domain counts as an unknown version.
     """
     contract = checked(contract)
-    departed = judged(raw_events, contract).filter("not known or ref_differs or size(missing) > 0 or size(extra) > 0 or size(retyped) > 0")
-    departed = cut_lineage(departed)  # patterns per file, read five times below; the payloads are parsed once for them
+    seen = cut_lineage(observed(raw_events, contract))  # distinct patterns and signatures, read several times below; the payloads are parsed once for them
+    departed = seen.filter(F.col("what").startswith("p")).select(F.from_json(F.substring("what", 2, 1 << 30), _PATTERN).alias("p"), "n").select("p.*", "n")
     report = lambda df, field, change: df.select("landing_file", field.alias("field_name"), F.lit(change).alias("change"), "n")
 
     kinds = contract.select(F.col("domain_name").alias("domain"), F.col("payload_version").alias("version"), F.col("field_name").alias("missing_name"), F.col("json_type").alias("missing_kind"))
@@ -180,7 +185,8 @@ def changes(raw_events: DataFrame, contract: DataFrame) -> DataFrame:
     plain = F.lower(F.regexp_replace("e.name", "[^A-Za-z]", ""))
     words = F.filter(F.split("missing_name", "_"), lambda w: F.length(w) >= 3)
     similar = F.exists(words, lambda w: F.contains(plain, w))
-    sigs = field_signatures(raw_events, contract).select("domain", F.col("name").alias("missing_name"), "sig", F.lit(1).alias("seen"))
+    part = lambda i: F.split_part(F.col("what"), F.lit(_MARK), F.lit(i))
+    sigs = seen.filter(F.col("what").startswith("s")).select(part(2).alias("domain"), part(3).alias("missing_name"), part(4).alias("sig"), F.lit(1).alias("seen"))
     scored = pairs.withColumn("sig", F.col("e.sig")).join(sigs, ["domain", "missing_name", "sig"], "left")
     scored = scored.withColumn("score", 2 * F.coalesce("seen", F.lit(0)) + similar.cast("int")).filter("score > 0")
     # mutual first choice: best extra of each missing name and best missing name of each extra
