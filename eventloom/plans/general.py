@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.timeparts import day_text, hour_text, micros
 from eventloom.operators import changefeed, drift, late_counters, orphans, rolling, sessions, skew
 from eventloom.operators.firsts import first_arrivals
+from eventloom.session import cut_lineage
 from eventloom.sources.tables import table
 
 
@@ -16,6 +17,17 @@ def p1_hourly(spark: SparkSession, d: str) -> DataFrame:
     return hours.select("tenant_id", hour_text(F.col("period")).alias("metric_hour"), "n_in_time", "n_corrections", "n_rejected", "n_accepted")
 
 
+def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """p1_hourly from three batches of landing files that come in the wrong order, one of them twice; copies of an event lie in several."""
+    events = table(spark, d, "raw_events")
+    counters, known = (spark.createDataFrame([], schema) for schema in (late_counters.COUNTERS, late_counters.ARRIVALS))
+    for i in (2, 0, 2, 1):
+        counters, known = late_counters.advance(counters, known, events.filter(F.pmod(F.xxhash64("landing_file"), F.lit(3)) == i))
+        counters, known = cut_lineage(counters), cut_lineage(known)
+    hours = late_counters.totals(counters)
+    return hours.select("tenant_id", hour_text(F.col("period")).alias("metric_hour"), "n_in_time", "n_corrections", "n_rejected", "n_accepted")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     hours = late_counters.hourly(table(spark, d, "raw_events"))
     return hours.filter("n_corrections > 0").select("tenant_id", hour_text(F.col("period")).alias("metric_hour"))
@@ -64,28 +76,57 @@ def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return refs, came
 
 
-def orphan_state(spark: SparkSession, d: str) -> DataFrame:
-    refs, came = _references(spark, d)
-    return orphans.advance(None, orphans.advance_index(None, came), refs)
+def _product_lives(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(upserts, deletions) of products in the change feed, as parents' arrivals and deletions."""
+    feed = table(spark, d, "product_changes")
+    named = lambda ops: orphans.arrivals(feed.filter(F.lower(F.trim("op")).isin(*ops)), "processed_orders", "product_id", "changed_at")
+    return named(changefeed.UPSERTS), named(changefeed.DELETES)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphaned(orphan_state(spark, d)).select(F.col("relation").alias("child_table"), "tenant_id", "child_id")
+    refs, came = _references(spark, d)
+    state, _ = orphans.advance(None, None, refs, came)
+    return orphans.unborn(state).select(F.col("relation").alias("child_table"), "tenant_id", "child_id")
+
+
+def _by_day(state: DataFrame) -> DataFrame:
+    return orphans.open_counts(state).select(F.col("relation").alias("child_table"), day_text(F.col("period")).alias("period"), "n_opened", "n_resolved", "n_reopened", "n_open")
 
 
 def p5_open_by_day(spark: SparkSession, d: str) -> DataFrame:
     refs, came = _references(spark, d)
-    feed = table(spark, d, "product_changes")
-    named = lambda ops: orphans.arrivals(feed.filter(F.lower(F.trim("op")).isin(*ops)), "processed_orders", "product_id", "changed_at")
-    lives = orphans.lifetimes(came.unionByName(named(changefeed.UPSERTS)), named(changefeed.DELETES))
-    per = orphans.step_counts(orphans.life_steps(refs, lives))
-    return per.select(F.col("relation").alias("child_table"), day_text(F.col("period")).alias("period"), "n_opened", "n_resolved", "n_reopened", "n_open")
+    made, went = _product_lives(spark, d)
+    state, _ = orphans.advance(None, None, refs, came.unionByName(made), went)
+    return _by_day(state)
+
+
+def p5_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """p5_open_by_day from three batches that come in the wrong order, one of them twice."""
+    refs, came = _references(spark, d)
+    made, went = _product_lives(spark, d)
+    came = came.unionByName(made)
+    part = lambda df, i: df.filter(F.pmod(F.xxhash64("tenant_id", "ref_key", "ref_at" if "ref_at" in df.columns else "at"), F.lit(3)) == i)
+    state = log = None
+    for i in (2, 0, 2, 1):
+        state, log = orphans.advance(state, log, part(refs, i), part(came, i), part(went, i))
+        state, log = cut_lineage(state), cut_lineage(log)
+    return _by_day(state)
 
 
 def p6_state(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.replay(table(spark, d, "product_changes")).select("tenant_id", "product_id", "inventory_on_hand", "last_event_id", "updated_at")
 
 
+def p6_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """p6_state from three batches of changes that come in the wrong order, one of them twice."""
+    feed = table(spark, d, "product_changes")
+    log, parts = (spark.createDataFrame([], schema) for schema in (changefeed.LOG, changefeed.SUMMARIES))
+    for i in (2, 0, 2, 1):
+        log, parts = changefeed.advance(log, parts, feed.filter(F.pmod("change_no", F.lit(3)) == i))
+        log, parts = cut_lineage(log), cut_lineage(parts)
+    return changefeed.fold(parts).select("tenant_id", "product_id", "inventory_on_hand", "last_event_id", "updated_at")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.stale(table(spark, d, "tenant_products"), changefeed.replay(table(spark, d, "product_changes")))
 
@@ -106,7 +147,7 @@ def p7_delay_modes(spark: SparkSession, d: str) -> DataFrame:
     return skew.distinct_and_mode(skew.weighted(rows, keys, "delay_s"), keys, "delay_s").select(*keys, "n_rows", "n_distinct", F.col("mode").alias("mode_delay_s"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hourly, p2_found, p2_sessions, p3_found, p3_rolling, p4_found, p4_table, p4_failed_casts, p5_found, p5_open_by_day, p6_found, p6_state, p7_found, p7_delay_modes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hourly, p1_incremental, p2_found, p2_sessions, p3_found, p3_rolling, p4_found, p4_table, p4_failed_casts, p5_found, p5_open_by_day, p5_incremental, p6_found, p6_state, p6_incremental, p7_found, p7_delay_modes)}
 
 _ONCE = """
 once AS (SELECT lower(trim(tenant_id)) AS tenant_id, event_id, min(event_timestamp) AS ts, min(ingested_at) AS arrived,
@@ -157,6 +198,22 @@ _ORPHANS = """WITH prod AS (SELECT lower(trim(tenant_id)) AS t, lower(trim(produ
     LEFT JOIN ord ON child_table = 'processed_payments' AND ord.t = tenant_id AND ord.k = refs.k
     WHERE refs.k <> '' AND tenant_id <> '' AND child_id IS NOT NULL AND ref_at IS NOT NULL),
   orphan AS (SELECT * FROM judged WHERE since IS NULL OR since > ref_at)"""
+# a product is alive at a moment if the last of its changes up to then isn't a deletion; a change of that is a step of every reference it concerns
+_BY_DAY = """WITH log AS (SELECT 'processed_orders' AS rel, lower(trim(tenant_id)) AS t, lower(trim(product_id)) AS k, created_at AS moment, 1 AS up FROM tenant_products
+    UNION ALL SELECT 'processed_payments', lower(trim(tenant_id)), lower(trim(order_id)), created_at, 1 FROM processed_orders
+    UNION ALL SELECT 'processed_orders', lower(trim(tenant_id)), lower(trim(product_id)), changed_at, CASE WHEN lower(trim(op)) IN ('d', 'delete', 'remove') THEN 0 ELSE 1 END FROM product_changes
+      WHERE lower(trim(op)) IN ('d', 'delete', 'remove', 'i', 'insert', 'c', 'create', 'u', 'update', 'upsert')),
+  settled AS (SELECT rel, t, k, moment, max(up) AS up FROM log WHERE t <> '' AND k <> '' AND moment IS NOT NULL GROUP BY ALL),
+  turns AS (SELECT * FROM settled QUALIFY up IS DISTINCT FROM coalesce(lag(up) OVER (PARTITION BY rel, t, k ORDER BY moment), 0)),
+  refs AS (SELECT DISTINCT 'processed_orders' AS rel, lower(trim(tenant_id)) AS t, lower(trim(product_id)) AS k, order_id AS child, event_timestamp AS ref_at FROM processed_orders
+    UNION SELECT 'processed_payments', lower(trim(tenant_id)), lower(trim(order_id)), payment_id, event_timestamp FROM processed_payments),
+  judged AS (SELECT *, coalesce((SELECT arg_max(up, moment) FROM turns x WHERE x.rel = refs.rel AND x.t = refs.t AND x.k = refs.k AND x.moment <= ref_at), 0) AS up0
+    FROM refs WHERE t <> '' AND k <> '' AND child IS NOT NULL AND ref_at IS NOT NULL),
+  later AS (SELECT j.rel, x.moment, x.up, row_number() OVER (PARTITION BY j.rel, j.t, j.k, child, ref_at ORDER BY x.moment) = 1 AND up0 = 1 AS fresh
+    FROM judged j JOIN turns x ON x.rel = j.rel AND x.t = j.t AND x.k = j.k AND x.moment > ref_at),
+  steps AS (SELECT rel, ref_at AS moment, 'o' AS kind FROM judged WHERE up0 = 0 UNION ALL SELECT rel, moment, CASE WHEN up = 1 THEN 'r' WHEN fresh THEN 'o' ELSE 'b' END FROM later),
+  per AS (SELECT rel AS child_table, strftime(moment, '%Y-%m-%d') AS period, count(*) FILTER (kind = 'o') AS n_opened, count(*) FILTER (kind = 'r') AS n_resolved, count(*) FILTER (kind = 'b') AS n_reopened FROM steps GROUP BY ALL)
+  SELECT *, CAST(sum(n_opened - n_resolved + n_reopened) OVER (PARTITION BY child_table ORDER BY period) AS BIGINT) AS n_open FROM per"""
 _DELAYS = f"""WITH {_ONCE}, delays AS (SELECT tenant_id, strftime(ts, '%Y-%m-%d') AS event_date, event_id, epoch_us(arrived) - epoch_us(ts) AS delay FROM once WHERE arrived IS NOT NULL)"""
 
 _KEYS = """j AS (SELECT landing_file, CASE split_part(event_type, '.', 1) WHEN 'order' THEN 'orders' WHEN 'payment' THEN 'payments' WHEN 'user' THEN 'users'
@@ -188,6 +245,7 @@ _DRIFT = f"""WITH {_KEYS}, c AS (SELECT domain_name AS d, payload_version AS v,
 
 ORACLE = {
     "p1_hourly": f"{_HOURLY} SELECT *, n_in_time + n_corrections AS n_accepted FROM hours",
+    "p1_incremental": f"{_HOURLY} SELECT *, n_in_time + n_corrections AS n_accepted FROM hours",
     "p1_found": f"{_HOURLY} SELECT tenant_id, metric_hour FROM hours WHERE n_corrections > 0",
     "p2_sessions": f"{_SESSIONS} SELECT * FROM sess",
     "p2_found": f"{_SESSIONS} SELECT tenant_id, actor, first_event_id, last_event_id FROM sess",
@@ -199,15 +257,10 @@ ORACLE = {
         WHEN 'number' THEN kind IN ('array', 'object') OR (kind = 'string' AND try_cast(s AS DOUBLE) IS NULL)
         WHEN 'boolean' THEN kind IN ('array', 'object') OR (kind = 'string' AND try_cast(s AS BOOLEAN) IS NULL) ELSE FALSE END GROUP BY 1, 2""",
     "p5_found": f"{_ORPHANS} SELECT DISTINCT child_table, tenant_id, child_id FROM orphan",
-    "p5_open_by_day": f"""{_ORPHANS}, went AS (SELECT lower(trim(tenant_id)) AS t, lower(trim(product_id)) AS k, max(changed_at) AS gone FROM product_changes WHERE lower(trim(op)) IN ('d', 'delete', 'remove') GROUP BY 1, 2),
-      alive AS (SELECT lower(trim(tenant_id)) AS t, lower(trim(product_id)) AS k, max(created_at) AS alive FROM tenant_products GROUP BY 1, 2),
-      steps AS (SELECT child_table, strftime(ref_at, '%Y-%m-%d') AS period, 1 AS o, 0 AS r, 0 AS b FROM orphan
-        UNION ALL SELECT child_table, strftime(since, '%Y-%m-%d'), 0, 1, 0 FROM orphan WHERE since IS NOT NULL
-        UNION ALL SELECT child_table, strftime(gone, '%Y-%m-%d'), 0, 0, 1 FROM orphan JOIN went ON went.t = tenant_id AND went.k = orphan.k JOIN alive ON alive.t = tenant_id AND alive.k = orphan.k
-          WHERE child_table = 'processed_orders' AND gone >= since AND gone > alive),
-      per AS (SELECT child_table, period, CAST(sum(o) AS BIGINT) AS n_opened, CAST(sum(r) AS BIGINT) AS n_resolved, CAST(sum(b) AS BIGINT) AS n_reopened FROM steps GROUP BY 1, 2)
-      SELECT *, CAST(sum(n_opened - n_resolved + n_reopened) OVER (PARTITION BY child_table ORDER BY period) AS BIGINT) AS n_open FROM per""",
+    "p5_open_by_day": _BY_DAY,
+    "p5_incremental": _BY_DAY,
     "p6_state": f"{_REBUILT} SELECT * FROM rebuilt",
+    "p6_incremental": f"{_REBUILT} SELECT * FROM rebuilt",
     "p6_found": f"""{_REBUILT} SELECT coalesce(s.tenant_id, r.tenant_id) AS tenant_id, coalesce(s.product_id, r.product_id) AS product_id
       FROM (SELECT lower(trim(tenant_id)) AS tenant_id, lower(trim(product_id)) AS product_id, inventory_on_hand AS n, last_event_id AS e FROM tenant_products) s
       FULL JOIN rebuilt r ON r.tenant_id = s.tenant_id AND r.product_id = s.product_id

@@ -4,12 +4,14 @@ import datetime as dt
 import random
 from collections import defaultdict
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from eventloom.operators import changefeed, drift, late_counters, orphans, rolling, sessions, skew
 from eventloom.operators.firsts import first_arrivals
+from eventloom.session import cut_lineage
 from eventloom.tenancy import allowed, scoped
 
 T0 = dt.datetime(2018, 1, 1, 10, 0)
@@ -47,23 +49,51 @@ def test_late_counters_bounds(spark):
     assert [(x.n_in_time, x.n_corrections, x.n_rejected, x.n_accepted) for x in r] == [(1, 3, 1, 4)]
 
 
-def test_late_counters_merge_is_idempotent_and_orderless(spark):
-    rnd = random.Random(1)
-    df = events(spark, *[event(str(i), tenant=rnd.choice("ab"), ts=rnd.randrange(20000), arrived=rnd.randrange(30000), source=rnd.choice("xyz")) for i in range(300)])
-    snaps = late_counters.snapshots(df)
-    whole = rows(late_counters.totals(late_counters.merge(snaps)), "tenant_id", "period", "n_in_time", "n_corrections", "n_rejected")
-    twice = late_counters.merge(snaps.orderBy(F.rand(3)), late_counters.merge(snaps), snaps)
-    assert rows(late_counters.totals(twice), "tenant_id", "period", "n_in_time", "n_corrections", "n_rejected") == whole
+HOURLY = ("tenant_id", "period", "n_in_time", "n_corrections", "n_rejected")
+
 
+def counted(spark, batches):
+    counters, known = spark.createDataFrame([], late_counters.COUNTERS), spark.createDataFrame([], late_counters.ARRIVALS)
+    seen = []
+    for b in batches:
+        counters, known = late_counters.advance(counters, known, b)
+        counters, known = cut_lineage(counters), cut_lineage(known)
+        seen.append(counters)
+    return seen, known
 
-def test_late_counters_advance_in_batches(spark):
-    rnd = random.Random(2)
-    df = events(spark, *[event(str(i), ts=rnd.randrange(9000), arrived=rnd.randrange(12000), source=rnd.choice("xy")) for i in range(200)])
-    first, second = df.filter(F.col("ingested_at") < at(6000)), df.filter(F.col("ingested_at") >= at(6000))
-    state = late_counters.advance(late_counters.merge(late_counters.snapshots(first)), second)
-    state = late_counters.advance(state, second)  # a retried batch
-    cols = ("tenant_id", "period", "n_in_time", "n_corrections", "n_rejected")
-    assert rows(late_counters.totals(state), *cols) == rows(late_counters.hourly(df), *cols)
+
+def test_late_counters_in_any_order_with_copies_and_retries(spark):
+    rnd = random.Random(1)
+    data = [event(str(rnd.randrange(150)), tenant=rnd.choice("ab"), ts=None, arrived=rnd.choice([None, rnd.randrange(30000)]), source=rnd.choice(["x", "y", None])) for _ in range(400)]
+    # copies of an event agree in their event time, but not in arrival, source or batch
+    data = [(r[0], r[1], r[2], at(7 * (int(r[0]) * 17 % 2500) + (r[1] == "a")), *r[4:]) for r in data]
+    df = events(spark, *data)
+    want = rows(late_counters.hourly(df), *HOURLY)
+    parts = [df.filter(F.pmod(F.xxhash64("event_id", "ingested_at"), F.lit(5)) == i) for i in range(5)]
+    for seed in (1, 2):
+        order = random.Random(seed).sample([0, 1, 2, 3, 4, 1, 3], 7)
+        seen, known = counted(spark, [parts[i] for i in order])
+        assert rows(late_counters.totals(seen[-1]), *HOURLY) == want
+        # snapshots delivered again or late don't matter to the merge
+        assert rows(late_counters.totals(late_counters.merge(seen[3], seen[-1], seen[0], seen[-1])), *HOURLY) == want
+        assert rows(late_counters.totals(late_counters.merge(late_counters.count(late_counters.least(known)))), *HOURLY) == want
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_late_counters_on_landing_files_in_random_order(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/raw_events.parquet")
+    parts = [df.filter(F.pmod(F.xxhash64("landing_file", "ingested_at"), F.lit(5)) == i) for i in range(5)]
+    seen, _ = counted(spark, [parts[i] for i in (4, 1, 1, 0, 3, 2, 4)])
+    assert rows(late_counters.totals(seen[-1]), *HOURLY) == rows(late_counters.hourly(df), *HOURLY)
+
+
+def test_late_counters_closed_periods_stay(spark):
+    a, b = events(spark, event("a", ts=10, arrived=20)), events(spark, event("a", ts=10, arrived=15), event("b", ts=50, arrived=9000), event("c", ts=7300, arrived=9000))
+    (first,), known = counted(spark, [a])
+    bound = F.lit(at(3600)).cast("timestamp_ntz")
+    counters, known = late_counters.advance(first, known, b, closed_before=bound)
+    assert rows(late_counters.totals(counters), "n_in_time", "n_rejected") == [(1, 0), (1, 0)]
+    assert rows(late_counters.forget(known, bound), "event_id") == [("c",)]
 
 
 def test_sessions_gap_is_inclusive_and_actor_falls_back(spark):
@@ -162,34 +192,63 @@ def test_drift_table_reports_failed_casts(spark):
 
 
 def test_orphans_open_resolve_reopen(spark):
-    child = spark.createDataFrame([("t", "o1", " K1 ", at(5), "x"), ("t", "o2", "k1", at(20), "x"), ("t", "o3", None, at(5), "x"), ("t", "o4", " ", at(5), "x"), ("u", "o5", "k1", at(99), "x"), ("t", "o1", "k1", at(30), "x"), ("t", "o6", "k9", at(1), "x")], "tenant_id string, order_id string, product_id string, event_timestamp timestamp_ntz, relation string")
+    child = spark.createDataFrame([("t", "o1", " K1 ", at(5), "x"), ("t", "o2", "k1", at(20), "x"), ("t", "o3", None, at(5), "x"), ("t", "o4", " ", at(5), "x"), ("u", "o5", "k1", at(99), "x"), ("t", "o1", "k1", at(30), "x"), ("t", "o6", "k9", at(1), "x"), ("t", "o6", "k9", at(1), "x")], "tenant_id string, order_id string, product_id string, event_timestamp timestamp_ntz, relation string")
     parent = spark.createDataFrame([("T", "k1", at(10)), ("t", "k1", at(50)), ("t", "k2", None)], "tenant_id string, product_id string, created_at timestamp_ntz")
     refs = orphans.references(child, "orders", "order_id", "product_id")
     came = orphans.arrivals(parent, "orders", "product_id")
-    index = orphans.advance_index(None, came)
-    state = orphans.advance(None, index, refs)
-    assert rows(orphans.orphaned(state), "tenant_id", "child_id") == [("t", "o1"), ("t", "o6"), ("u", "o5")]
-    gone = spark.createDataFrame([("orders", "t", "k1", at(60))], "relation string, tenant_id string, ref_key string, at timestamp_ntz")
-    late = spark.createDataFrame([("orders", "t", "k9", at(70))], "relation string, tenant_id string, ref_key string, at timestamp_ntz")
-    after = orphans.advance(state, orphans.advance_index(index, late, gone), refs.limit(0))
-    got = {r.child_id: (r.resolved_at, r.reopened_at) for r in after.collect()}
-    assert got == {"o1": (at(10), at(60)), "o5": (None, None), "o6": (at(70), None)}
-    assert [(r.n_opened, r.n_resolved, r.n_reopened, r.n_open) for r in orphans.open_counts(after).collect()] == [(3, 2, 1, 2)]
+    state, log = orphans.advance(None, None, refs, came)
+    assert rows(orphans.unborn(state), "tenant_id", "child_id") == [("t", "o1"), ("t", "o6"), ("u", "o5")]
+    change = lambda key, s: spark.createDataFrame([("orders", "t", key, at(s))], "relation string, tenant_id string, ref_key string, at timestamp_ntz")
+    after, _ = orphans.advance(state, log, refs.limit(0), change("k9", 70), change("k1", 60))
+    assert sorted((r.child_id, r.open_since) for r in orphans.waiting(after).collect()) == [("o1", at(60)), ("o1", at(60)), ("o2", at(60)), ("o5", at(99))]
+    assert [(r.n_opened, r.n_resolved, r.n_reopened, r.n_open) for r in orphans.open_counts(after).collect()] == [(5, 2, 1, 4)]
+
+
+PARENT = "relation string, tenant_id string, ref_key string, at timestamp_ntz"
+CHILD = "relation string, tenant_id string, ref_key string, child_id string, ref_at timestamp_ntz"
 
 
 def test_orphans_of_parents_deleted_later_or_before(spark):
-    key = "relation string, tenant_id string, ref_key string, at timestamp_ntz"
-    refs = spark.createDataFrame([("o", "t", "k", c, at(s)) for c, s in (("early", 5), ("alive", 20), ("after", 70), ("again", 90))] + [("o", "t", "none", "x", at(1))], "relation string, tenant_id string, ref_key string, child_id string, ref_at timestamp_ntz")
-    came = spark.createDataFrame([("o", "t", "k", at(s)) for s in (10, 15, 80)], key)
-    went = spark.createDataFrame([("o", "t", "k", at(s)) for s in (3, 60, 100)] + [("o", "t", "none", at(9))], key)
-    steps = sorted((r.at, r.kind) for r in orphans.life_steps(refs, orphans.lifetimes(came, went)).collect())
-    assert steps == sorted(
-        [(at(1), "opened")]
-        + [(at(5), "opened"), (at(10), "resolved"), (at(60), "reopened"), (at(80), "resolved"), (at(100), "reopened")]
-        + [(at(60), "opened"), (at(80), "resolved"), (at(100), "reopened")]
-        + [(at(70), "opened"), (at(80), "resolved"), (at(100), "reopened")]
-        + [(at(100), "opened")]
-    )
+    refs = spark.createDataFrame([("o", "t", "k", c, at(s)) for c, s in (("early", 5), ("alive", 20), ("after", 70), ("again", 90))] + [("o", "t", "none", "x", at(1))], CHILD)
+    came = spark.createDataFrame([("o", "t", "k", at(s)) for s in (10, 15, 80)], PARENT)
+    went = spark.createDataFrame([("o", "t", "k", at(s)) for s in (3, 60, 80, 100)] + [("o", "t", "none", at(9))], PARENT)
+    state, _ = orphans.advance(None, None, refs, came, went)
+    got = {r.child_id: [(s.kind, s.at) for s in r.steps] for r in state.collect()}
+    end = [("resolved", at(80)), ("reopened", at(100))]
+    assert got == {
+        "x": [("opened", at(1))],
+        "early": [("opened", at(5)), ("resolved", at(10)), ("reopened", at(60)), *end],
+        "alive": [("opened", at(60)), *end],
+        "after": [("opened", at(70)), *end],
+        "again": [("opened", at(100))],
+    }
+
+
+def test_orphans_of_a_deleted_parent_from_its_deletion_on(spark):
+    """Created on the 1st, deleted on the 10th, references on the 5th and the 20th."""
+    day = lambda n: dt.datetime(2018, 1, n)
+    refs = spark.createDataFrame([("o", "t", "k", "a", day(5)), ("o", "t", "k", "b", day(20))], CHILD)
+    state, _ = orphans.advance(None, None, refs, spark.createDataFrame([("o", "t", "k", day(1))], PARENT), spark.createDataFrame([("o", "t", "k", day(10))], PARENT))
+    assert sorted((r.child_id, r.open_since) for r in orphans.waiting(state).collect()) == [("a", day(10)), ("b", day(20))]
+
+
+def test_orphans_batches_in_any_order_give_the_state_of_one(spark):
+    rnd = random.Random(4)
+    key = lambda: ("o", rnd.choice("tu"), rnd.choice("abc"))
+    refs = spark.createDataFrame([(*key(), f"c{i}", at(rnd.randrange(100))) for i in range(60)], CHILD)
+    came = spark.createDataFrame([(*key(), at(rnd.randrange(100))) for _ in range(12)], PARENT)
+    went = spark.createDataFrame([(*key(), at(rnd.randrange(100))) for _ in range(12)], PARENT)
+    plain = lambda df: sorted((r.tenant_id, r.ref_key, r.child_id, r.ref_at, tuple((s.kind, s.at) for s in r.steps)) for r in df.collect())
+    want = plain(orphans.advance(None, None, refs, came, went)[0])
+    split = lambda df, i: df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(3)) == i)
+    state = log = None
+    for i in (1, 2, 1, 0):
+        state, log = orphans.advance(state, log, split(refs, i), split(came, i), split(went, i))
+        state, log = cut_lineage(state), cut_lineage(log)
+    assert plain(state) == want
+    assert plain(orphans.advance(state, log, refs)[0]) == want
+    assert plain(orphans.advance(None, None, refs)[0]) == sorted((*r[1:4], r[4], (("opened", r[4]),)) for r in refs.collect())
+    assert orphans.advance(None, None, refs.limit(0), came, went)[0].count() == 0
 
 
 FEED = "change_no bigint, tenant_id string, product_id string, event_id string, op string, sku string, name string, category string, price decimal(14,2), inventory_delta int, active boolean, changed_at timestamp_ntz"
@@ -214,8 +273,25 @@ def test_changefeed_against_plain_replay(spark):
         else:
             old = state.get(key, {"n": 0, "sku": None})
             state[key] = {"n": max(old["n"] + (r[9] or 0), 0), "sku": r[5] or old["sku"], "e": r[3], "at": r[11]}
-    got = rows(changefeed.replay(spark.createDataFrame(data, FEED)), "product_id", "inventory_on_hand", "sku", "last_event_id", "updated_at")
-    assert got == sorted((k, v["n"], v["sku"], v["e"], v["at"]) for k, v in state.items())
+    cols = ("product_id", "inventory_on_hand", "sku", "last_event_id", "updated_at")
+    feed = spark.createDataFrame(data, FEED)
+    want = sorted((k, v["n"], v["sku"], v["e"], v["at"]) for k, v in state.items())
+    assert rows(changefeed.replay(feed), *cols) == want
+    assert rows(changefeed.replay(feed, "hour"), *cols) == want
+    # batches in the wrong order, one twice, repeats of a change in several of them
+    log, parts = spark.createDataFrame([], changefeed.LOG), spark.createDataFrame([], changefeed.SUMMARIES)
+    for i in (2, 1, 2, 0):
+        log, parts = changefeed.advance(log, parts, feed.filter(F.pmod(F.xxhash64("change_no", "changed_at"), F.lit(3)) == i))
+        log, parts = cut_lineage(log), cut_lineage(parts)
+    assert rows(changefeed.fold(parts), *cols) == want
+
+
+def test_changefeed_earlier_copy_replaces_an_applied_one(spark):
+    one = lambda no, s, delta: spark.createDataFrame([(no, "t", "p", "e", "u", None, None, None, None, delta, None, at(s))], FEED)
+    log, parts = changefeed.advance(spark.createDataFrame([], changefeed.LOG), spark.createDataFrame([], changefeed.SUMMARIES), one(5, 90000, 3))
+    log, parts = changefeed.advance(log, parts, one(9, 10, 4))
+    assert rows(changefeed.fold(parts), "inventory_on_hand", "updated_at", "n_applied") == [(4, at(10), 1)]
+    assert rows(changefeed.fold(changefeed.advance(log, parts, one(7, 90000, 3))[1]), "inventory_on_hand", "n_applied") == [(4, 1)]
 
 
 def test_changefeed_empty_and_stale(spark):
