@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from eventloom.session import cut_lineage
 
 WINDOWS_PER_GROUP = 64
+#: Packing is dear and sizes are small, so tasks are counted in groups (about a tenth of a second each), not bytes.
+GROUPS_PER_TASK = 8
+#: Beyond this many tasks each takes more groups.
+MAX_TASKS = 50_000
 PIECES = "window_id string, doc_id bigint, piece_no int, token_start bigint, n_tokens bigint"
 
 
@@ -81,7 +85,8 @@ def windows(items: DataFrame, capacity: int = 2048, windows_per_group: int = WIN
     rows with a null id are packed like others. Repeated rows are items of their own.
 
     Groups come from a hash of the row, so that each holds about ``windows_per_group``
-    windows whatever the corpus; a group is one task's work and bounded by that.
+    windows whatever the corpus; a task packs about ``GROUPS_PER_TASK`` of them, one at
+    a time, so the number of tasks grows with the corpus and a task's memory doesn't.
     The sizes are written to the checkpoint folder once, as the total must be known first.
     """
     sized = cut_lineage(items.select("doc_id", F.col("n_tokens").cast("bigint").alias("size")).filter("size > 0"))
@@ -110,7 +115,8 @@ def windows(items: DataFrame, capacity: int = 2048, windows_per_group: int = WIN
         rest.cast("bigint").alias("n_tokens"),
         F.pmod(F.xxhash64("row"), F.lit(groups)).alias("grp"),
     )
-    packed = loose.repartition("grp").sortWithinPartitions("grp").mapInPandas(_packer(capacity), PIECES)
+    tasks = min(MAX_TASKS, -(-groups // GROUPS_PER_TASK))
+    packed = loose.repartition(tasks, "grp").sortWithinPartitions("grp").mapInPandas(_packer(capacity), PIECES)
     return whole.unionByName(packed)
 
 
