@@ -107,20 +107,77 @@ def idempotent_id(tenant: Column, event_type: Column, source: Column, key: Colum
     return F.concat(F.lit("idem_"), F.substring(F.sha2(F.concat_ws("|", tenant, event_type, source, key), 256), 1, 32))
 
 
-def dead_letters(rejected: DataFrame, default_reason: str = "late_rejected") -> DataFrame:
-    """(key, value) records for the dead-letter topic; the value keeps the original text."""
-    body = F.to_json(F.struct(F.coalesce("reason", F.lit(default_reason)).alias("reason"), "event_id", "tenant_id", "event_type", F.col("raw_value").alias("original")))
+def _or_null(df: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def dead_letters(rejected: DataFrame, written_at: Column | None = None, default_reason: str = "late_rejected") -> DataFrame:
+    """(key, value) records for the dead-letter topic; the value keeps the original text and where it came from.
+
+    Columns that ``rejected`` lacks (topic, partition, offset) are null in the letter.
+    The key is the tenant, or ``unknown``.
+    """
+    body = F.to_json(
+        F.struct(
+            F.col("event_id").alias("original_event_id"),
+            "tenant_id",
+            "event_type",
+            _or_null(rejected, "source_service").alias("source_service"),
+            F.coalesce("reason", F.lit(default_reason)).alias("rejection_reason"),
+            _or_null(rejected, "topic").alias("original_topic"),
+            _or_null(rejected, "partition", "int").alias("original_partition"),
+            _or_null(rejected, "offset", "bigint").alias("original_offset"),
+            "raw_value",
+            F.coalesce(written_at if written_at is not None else F.current_timestamp()).cast("string").alias("dlq_written_at"),
+        )
+    )
     return rejected.select(F.coalesce(F.nullif(F.trim("tenant_id"), F.lit("")), F.lit("unknown")).alias("key"), body.alias("value"))
 
 
-def inspect_dead_letters(letters: DataFrame) -> DataFrame:
-    """reason and original text of dead letters, wrapped or raw."""
-    wrapped = F.from_json("value", "reason string, original string")
-    return letters.select("key", F.coalesce(wrapped["reason"], F.lit("unknown")).alias("reason"), F.coalesce(wrapped["original"], F.col("value")).alias("original"))
+def inspect_dead_letters(letters: DataFrame, event_id: str | Column | None = None, limit: int | None = None) -> DataFrame:
+    """reason, stage and original envelope of dead letters (key, value) in any of their shapes.
+
+    A letter of the stream names its reason and holds the original text. A letter of the
+    services is itself an envelope whose payload.message is JSON with error, failed_stage
+    and original_event, or whose payload has the original_event; a message that is no
+    JSON is the reason. Anything else is its own original, the reason unknown.
+    ``event_id`` selects letters of one event, ``limit`` bounds how many are read.
+    """
+    flat = F.from_json("value", "rejection_reason string, raw_value string")
+    message = F.get_json_object("value", "$.payload.message")
+    inner = lambda f: F.get_json_object(message, f"$.{f}")
+    shaped = once(letters, _s=flat, _m=message, _error=inner("error"), _stage=inner("failed_stage"), _original=F.coalesce(inner("original_event"), F.get_json_object("value", "$.payload.original_event")))
+    out = shaped.select(
+        "key",
+        F.coalesce(F.col("_s.rejection_reason"), "_error", "_m", F.lit("unknown")).alias("reason"),
+        F.when(F.col("_s.raw_value").isNotNull(), "stream").otherwise(F.col("_stage")).alias("failed_stage"),
+        F.coalesce(F.col("_s.raw_value"), "_original", "value").alias("original"),
+    )
+    if event_id is not None:
+        out = out.filter(F.get_json_object("original", "$.event_id") == event_id)
+    return out if limit is None else out.limit(limit)
 
 
 def replay(originals: DataFrame, at: Column) -> DataFrame:
-    """Original envelopes to send again: a new id and time, the old id as causation."""
-    e = F.from_json("original", _ENV)
-    new_id = F.concat(F.lit("replay_"), F.substring(F.sha2(e["event_id"], 256), 1, 24))
-    return originals.select(new_id.alias("event_id"), e["event_id"].alias("causation_id"), e["tenant_id"].alias("tenant_id"), e["event_type"].alias("event_type"), at.alias("event_timestamp"))
+    """Original envelopes to send again: (topic, key, value) and the fields of the new envelope.
+
+    The new envelope is the old one with a new event_id and idempotency_key, the given
+    time, and the old id as causation; payload, version, trace and the rest are kept. A
+    letter whose original is no JSON object, or has no event_id, can't be sent again.
+    """
+    rows = once(originals, _e=F.from_json("original", _ENV), _ok=object_map("original").isNotNull(), payload=F.get_json_object("original", "$.payload"))
+    old = {n: F.trim(F.col(f"_e.{n}")) for n in REQUIRED + OPTIONAL}
+    new_id = F.concat(F.lit("replay_"), F.substring(F.sha2(old["event_id"], 256), 1, 24))
+    changed = {"event_id": new_id, "idempotency_key": new_id, "causation_id": old["event_id"], "event_timestamp": at, "payload_version": old["payload_version"].try_cast("int"), "correlation_id": F.coalesce(old["correlation_id"], old["trace_id"])}
+    sent = rows.filter(F.col("_ok") & old["event_id"].isNotNull()).select(*[(changed.get(n, old[n])).alias(n) for n in REQUIRED + OPTIONAL], "payload")
+    stamped = F.date_format(F.col("event_timestamp").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("event_timestamp")
+    head = F.to_json(F.struct(*[stamped if n == "event_timestamp" else F.col(n) for n in REQUIRED + OPTIONAL]))
+    value = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"payload":'), _json_value("payload"), F.lit("}"))
+    topic = F.concat(F.coalesce(domain(), F.lit("unrouted")), F.lit(".events"))
+    return sent.select(topic.alias("topic"), partition_key().alias("key"), value.alias("value"), *REQUIRED, *OPTIONAL, "payload")
+
+
+def _json_value(text: str) -> Column:
+    """Extracted JSON as a value to splice into JSON: objects and arrays as they are, anything else as a string, null as null."""
+    c = F.col(text)
+    return F.when(c.isNull(), "null").when(c.rlike(r"^\s*[\[{]"), c).otherwise(F.substring(F.to_json(F.array(c)), 2, 1 << 30).substr(F.lit(1), F.length(F.to_json(F.array(c))) - 2))

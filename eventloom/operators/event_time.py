@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.timeparts import micros
 
-METRICS = ("event_count", "revenue", "units", "order_count", "payment_success_count", "payment_failure_count", "active_users", "error_count")
+METRICS = ("event_count", "revenue", "order_count", "units_sold", "payment_success_count", "payment_failure_count", "late_accepted_count")
+#: What the long form lists; event_count stands beside each as well.
+LONG_METRICS = ("revenue", "order_count", "units_sold", "payment_success_count", "payment_failure_count", "event_count")
 
 
 def classify(events: DataFrame, as_of: Column, on_time: int = 60, accept: int = 600) -> DataFrame:
@@ -49,28 +51,31 @@ def enrich(events: DataFrame, tenants: DataFrame) -> DataFrame:
 
 
 def windowed(events: DataFrame, size: str = "5 minutes", slide: str | None = None) -> DataFrame:
-    """Eight aggregates per tenant, domain and tumbling or sliding window.
+    """Aggregates per tenant, domain and tumbling or sliding window.
 
-    Order revenue is quantity x unit_price, payment revenue the captured amount; the
-    domains stay apart. A value that is no number counts as 0.
+    An order counts, with its revenue and units, where it is created; an update of it
+    adds nothing. Its revenue is unit_price x quantity, a null quantity being 1; a
+    payment's is its amount when authorized and when captured. A value that is no number
+    counts as null. ``events`` has each event once, classified by :func:`classify`.
     """
-    num = lambda f: F.coalesce(F.get_json_object("payload", f"$.{f}").try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
-    qty = F.coalesce(F.get_json_object("payload", "$.quantity").try_cast("bigint"), F.lit(0))
-    is_ = lambda d: F.col("domain") == d
-    captured = F.col("event_type") == "payment.captured"
-    revenue = F.when(is_("orders"), (qty * num("unit_price")).cast("decimal(18,2)")).when(captured, num("amount")).otherwise(F.lit(0)).cast("decimal(18,2)")
+    number = lambda f, t: F.get_json_object("payload", f"$.{f}").try_cast(t)
+    money = "decimal(18,2)"
+    created, captured = F.col("event_type") == "order.created", F.col("event_type") == "payment.captured"
+    quantity = number("quantity", "bigint")
+    order_revenue = F.when(created, number("unit_price", money) * F.coalesce(quantity, F.lit(1)))
+    payment_revenue = F.when(captured | (F.col("event_type") == "payment.authorized"), number("amount", money))
+    total = lambda c: F.sum(F.coalesce(c.cast(money), F.lit(0).cast(money)))
     w = F.window("event_timestamp", size, slide) if slide else F.window("event_timestamp", size)
     return (
         events.groupBy("tenant_id", "domain", w.alias("w"))
         .agg(
             F.count("*").alias("event_count"),
-            F.sum(revenue).cast("decimal(18,2)").alias("revenue"),
-            F.sum(F.when(is_("orders"), qty).otherwise(0)).alias("units"),
-            F.count_if(is_("orders")).alias("order_count"),
+            (total(order_revenue) + total(payment_revenue)).cast(money).alias("revenue"),
+            F.count_if(created).alias("order_count"),
+            F.sum(F.coalesce(F.when(created, quantity), F.lit(0))).alias("units_sold"),
             F.count_if(captured).alias("payment_success_count"),
             F.count_if(F.col("event_type") == "payment.failed").alias("payment_failure_count"),
-            F.count_if(is_("users")).alias("active_users"),
-            F.count_if(F.col("event_type") == "system.alert").alias("error_count"),
+            F.count_if(F.col("lateness") == "late_accepted").alias("late_accepted_count"),
         )
         .select("tenant_id", "domain", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *METRICS)
     )
@@ -78,5 +83,5 @@ def windowed(events: DataFrame, size: str = "5 minutes", slide: str | None = Non
 
 def melted(wide: DataFrame) -> DataFrame:
     """Long form, one row per metric, by a single unpivot."""
-    keys = ["tenant_id", "domain", "window_start", "window_end"]
-    return wide.select(*keys, *[F.col(m).cast("double").alias(m) for m in METRICS]).unpivot(keys, list(METRICS), "metric_name", "metric_value")
+    keys = ["tenant_id", "domain", "window_start", "window_end", "n_events"]
+    return wide.select(*keys[:-1], F.col("event_count").alias("n_events"), *[F.col(m).cast("double").alias(m) for m in LONG_METRICS]).unpivot(keys, list(LONG_METRICS), "metric_name", "metric_value").withColumnRenamed("n_events", "event_count")

@@ -8,6 +8,8 @@ one of them, exact values inside that one settle it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +57,16 @@ def at_percentile(df: DataFrame, keys: list[str], value: str, tie: str, percent:
     last = inside.join(spot, [*keys, value, "_prefix"])
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(tie))
     return last.withColumn("_place", place).filter("_place = _left").select(*keys, value, tie)
+
+
+def value_at(df: DataFrame, keys: list[str], value: str, rank: Callable[[Column], Column], coarse: float) -> DataFrame:
+    """Of each key the value at position ``rank(n)``, counted from 1, of its n non-null values in order.
+
+    As :func:`at_percentile` without ties to break: buckets of ``coarse`` values hold the
+    rank, the weights of the values inside one bucket settle it. Result: keys, value.
+    """
+    rows = df.select(*keys, value).dropna().withColumn("_bucket", F.floor(F.col(value) / coarse).cast("bigint"))
+    counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("n"))
+    bucket = _locate(counts, keys, ["_bucket"], rank(F.sum("n").over(Window.partitionBy(*keys))))
+    finer = rows.join(bucket, [*keys, "_bucket"]).groupBy(*keys, value).agg(F.count("*").alias("n"), F.max("_rank").alias("_wanted"))
+    return _locate(finer, keys, [value], F.col("_wanted")).select(*keys, value)

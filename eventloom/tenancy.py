@@ -25,3 +25,8 @@ def allowed(df: DataFrame, tenants: Iterable[str], column: str = "tenant_id") ->
     """Rows of the listed tenants; an empty list allows all."""
     listed = sorted({t.strip().lower() for t in tenants})
     return df.filter(key_of(column).isin(listed)) if listed else df
+
+
+def matches(column: str, value: str | None) -> Column:
+    """``column`` equals ``value``, or anything where no value is given."""
+    return F.lit(True) if value is None else F.col(column) == value

@@ -59,16 +59,6 @@ def test_tenants_share_no_duplicates(spark):
     assert got == [("a", 1, False), ("a", 2, True), ("b", 1, False)]
 
 
-def test_window_metrics_and_melt(spark):
-    t = dt.datetime(2024, 1, 1, 0, 1)
-    data = [("t", "orders", "order.created", t, '{"quantity":2,"unit_price":10.0}'), ("t", "payments", "payment.captured", t, '{"amount":20.0}'), ("t", "payments", "payment.failed", t, '{"amount":"x"}')]
-    wide = event_time.windowed(spark.createDataFrame(data, "tenant_id string, domain string, event_type string, event_timestamp timestamp_ntz, payload string"))
-    got = {r.domain: r for r in wide.collect()}
-    assert (float(got["orders"].revenue), got["orders"].units) == (20.0, 2)
-    assert (float(got["payments"].revenue), got["payments"].payment_success_count, got["payments"].payment_failure_count) == (20.0, 1, 1)
-    assert event_time.melted(wide).count() == 2 * len(event_time.METRICS)
-
-
 def test_upserts_are_idempotent(spark):
     a = spark.createDataFrame([("k", 1, "old"), ("j", 1, "x")], "k string, v int, s string")
     b = spark.createDataFrame([("k", 2, "new")], "k string, v int, s string")
