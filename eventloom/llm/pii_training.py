@@ -1,278 +1,503 @@
-"""Sentences with known segments, from which the weights are fitted.
+"""Sentences with known segments, from which the weights are fitted and on which they are measured.
 
-Built from carriers (what tickets, chats, forms and logs say around such data, in five
-languages), look-alikes that are nothing of the kind, and made-up values. Names come
-from the directory or, in a third of all cases, from neither side of it.
+Built from carriers (what letters, forms, chats, tables and logs say around such data, in
+five languages), look-alikes that are nothing of the kind, and made-up values. All of it
+is written for this purpose, none of it taken from a corpus. Carriers, streets, mail
+domains and name syllables come in two halves that share nothing: weights are fitted on
+FIT, and the figures for text of another wording are measured on HELD. Names come from
+the directory or, about as often, from outside it.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from dataclasses import dataclass
 
-# Carriers. {N} name, {F} family name only, {E} email, {P} phone, {I} labelled identity number, {A} address.
-CARRIERS = """
-Signature on file: {N}. Delivered 09:31, {A}.
-Signature on file: {N}.
-Delivered 02:55, {A}.
-Ship to: {N}, {A}{U}
-Ship to: {N}, {A}{T}
-Spoke with {N} and {N}; both see consumer lag wrong.
-Spoke with {F} and {N}; both see order count wrong.
-Call back {N} on {P} before 01:58.
-Left a message for Ms. {N} at {P} regarding SK-AUD-3441.
-Left a message for Ms. {F} at {P} regarding SK-OUT-1145.
-Escalated by Dr. {N} at 15:26.
-Escalated by Dr. {F} at 11:02.
-Erase everything about {N}, {E}.
-We hold nothing about {N}, {E}.
-The parcel for {N} is still at {A}{T}.
-The parcel for {F} is still at {A}.
-Refund EUR 83182.34 to {N}, they sent {I} as proof.
-Asked {N}; no idea.
-Asked {F}; no idea.
-Paid by {N}, card ending 4149, amount EUR 86443.20.
-Paid by {F}, card ending 1198, amount $ 412.20.
-Customer {N} wrote from {E} about order #0024267853.
-Customer {F} wrote from {E} about ord-024267853.
-reported by:{N};reply-to:{E};ref:ord-074914182
-reported by:{F};reply-to:{E};ref:ORD/74914182
-Signed: {N}
-Signed: {F}
-Forwarded by {N} ({E}) on 2025/07/08
-Who is {N}? They appear in evt-2848a1240952895c.
-Who is {F}? They appear in evt-28aa5a1240952895.
-Record owner: {N} ({I})
-billing contact {N}, {E}
-KYC: {N}, {I}, {A}{U}
-KYC: {N}, {I}, {A}{T}
-thanks, {N}
-thanks, {F}
-{N} gave {I} to unlock the account.
-{F} gave {I} to unlock the account.
-*{N}* asked again, see {E}!
-*{F}* asked again, see {E}!
-<b>{N}</b><br/>{A}{U}<br/>{P}
-<b>{F}</b><br/>{A}<br/>{P}
-{N} <{E}> asked for the export of 2018-01-09.
-{F} <{E}> asked for the export of 2019/01/09.
-Mrs {N} moved to {A}{T} and wants a refund of USD 44483.48.
-Mrs {F} moved to {A} and wants a refund of $ 44.48.
-{N} says payment success rate is off since 05:30.
-{F} says net revenue is off since 01:30.
-{N}, {A}{U}, {P}
-{N}, {A}{T}, {P}
-note in the free text: "{N} / {P} / {A}{U}"
-ERROR [stock-scanner] user="{N}" phone={P} result=denied
-ERROR [stock-scanner] user="{F}" phone={P} result=denied
-DEBUG [ledger-sync] form note: {I} from 203.0.113.107
-WARN  [metrics-writer] ship_to="{A}" order=ord-026843926
-ERROR [ledger-sync] rejected: unexpected value "{E}" in payload_version
-contact={E} tel={P} order=order #0010921764
-Courier note: ring twice, {A}{U}, ask for {N}
-Courier note: ring twice, {A}{T}, ask for {F}
-Deliver ord-027610188 to {A}{U} instead.
-Neighbour at {A}{U} took the Folded Blanket.
-I live at {A}{U} now, please change it
-{P} is not in service, ask {N} for another
-Text {P} when Grace Speaker is back.
-my number is {P}, evenings only
-cc {E}; phone {P}
-The payload still contains {E} and {P} in clear text.
-export contains {I}, must go
-The caller read out {I} and hung up.
-{E} bounced 374 times.
-'{E}' is not a valid value for inventory_delta
-mailto:{E} was in the message field of evt-2848a1240952895c.
-<a href="mailto:{E}">write back</a> or ring `{P}`
-Reply to {E}, not to us.
-please use {E} from now on, the old one is dead
-name;phone;mail;street\n{N};{P};{E};{A}{U}
-name;phone;mail;street\n{N};{P};{E};{A}\n{N};{P};{E};{A}{T}
--- \n{N}\n{P}
--- \n{F}\n{P}
-Best regards,\n{N}
-Kind regards\n{F}
-asking about {N}, {E}.
-A half-written file asking about {N}, {E}.
-Kundin {N} schrieb von {E} wegen ord-063579343.
-Kundin {F} schrieb von {E} wegen ORD/63579343.
-Herr {N} meldet falsche Werte seit 23:30 Uhr.
-{N} meldet falsche Werte seit 04:34 Uhr.
-{F} meldet falsche Werte seit 04:34 Uhr.
-Frau {N} bestätigt den Betrag USD 69714.58.
-Frau {F} bestätigt den Betrag $ 69714.58.
-Zur Freischaltung nannte Herr {N} {I}.
-Bitte {N} unter {P} zurückrufen.
-Bitte {F} unter {P} zurückrufen.
-Rückfragen an {N}, {E}, {P}
-Rückfragen an {F}, {E}, {P}
-Empfänger: {N}, {A}{T}
-Empfänger: {F}, {A}
-{N} ist umgezogen: {A}{T}
-{F} ist umgezogen: {A}
-Der Nachbar in der {A} hat das Paket.
-Lieferung an {A}{T} statt an die alte Anschrift.
-Im Datensatz stehen noch {P} und {E}.
-Im Freitext steht {I}, bitte löschen.
-Meine neue Nummer ist {P}.
-Antwort bitte an {E}.
-Mit freundlichen Grüßen\n{N}
-Mit freundlichen Grüßen\n{F}
-La clienta {N} escribió desde {E} por ord-034958660.
-El Sr. {N} presentó {I}.
-El Sr. {F} presentó {I}.
-El paquete de {N} sigue en {A}{U}.
-El paquete de {F} sigue en {A}.
-Contacto: {N}, {E}, {P}
-Destinatario: {N}, {A}{U}
-Destinatario: {F}, {A}{T}
-Llamar a {N} al {P} antes de las 17:46.
-{N} dice que los datos fallan desde las 05:51.
-{F} dice que los datos fallan desde las 05:51.
-El texto libre contiene {I}.
-En el registro siguen {P} y {E}.
-Mi número nuevo es {P}.
-Responder a {E}.
-Entregar en {A}, no en la dirección anterior.
-Un saludo,\n{N}
-Un saludo,\n{F}
-La cliente {N} a écrit depuis {E} au sujet de ORD/62666264.
-La cliente {F} a écrit depuis {E} au sujet de ord-626662640.
-M. {N} a fourni {I}.
-M. {F} a fourni {I}.
-Le colis de Mme {N} est resté au {A}{T}.
-Le colis de Mme {F} est resté au {A}.
-Contact : {N}, {E}, {P}
-Destinataire : {N}, {A}{T}
-Rappeler {N} au {P} avant 01:16.
-M. {N} signale des écarts depuis 00:04.
-{N} signale des écarts depuis 00:04.
-{F} signale des écarts depuis 00:04.
-Le champ libre contient {I}.
-Le message contient encore {P} et {E}.
-Mon nouveau numéro : {P}
-Répondre à {E}.
-Livrer au {A}{T} et non à l'ancienne adresse.
-Cordialement,\n{N}
-Cordialement,\n{F}
-連絡先は {E} です。
-電話 {P} に折り返してください。
-返信先: {E} / {P}
-{N} 様から {P} に連絡。
-WARN  [replay-runner] {"customer":{"name":"{N}","phone":"{P}","email":"{E}"},"attempt":3}
-ERROR [replay-runner] {"customer":{"name":"{F}","phone":"{P}","email":"{E}"},"attempt":3}
-INFO  [tenant-router] {"event_id":"evt-8ebb3bf82fafd112","contact":"{E}","msg":"lookup failed"}
-The courier could not find {A}.
-The courier could not find {A}{U}
-注文 ORD/13862 の {N} 様、{E} まで。
-""".strip().splitlines()
-
-# Carriers in which no word announces the name; they stand behind a sentence or a speaker.
-UNANNOUNCED = """
+from eventloom.llm.pii import ADJECTIVES, NOUNS
+
+# Carriers. {N} name, {F} family name only or the like, {E} email, {P} phone, {I} labelled identity number, {A} address, {U} and {T} what may follow one, {X} a thing whose name looks like a person's, {D} digits.
+FIT_CARRIERS = r"""
+Hello {N}, your appointment at the clinic is on Monday.
+Hi {F}, your appointment at the clinic is on Monday.
+Dear {N},\nplease find the invoice enclosed.
+Dear Mr {F},\nplease find the invoice enclosed.
+Dear Ms. {N}, thank you for your visit.
+Yours sincerely,\n{N}
+Yours faithfully\n{N}\n{P}
+Take care,\n{F}
+Passenger {N} boards at gate 12.
+Passengers {N} and {N} travel together.
+I met {N} at the trade fair last week.
+We met {F} at the trade fair last week.
+{N} will present the quarterly results.
+{F} will present the quarterly results.
+{N} has left the building.
+{N} told me that the door was open.
+{N} ({P}) is on holiday until May.
+{N}, {E}, joined the mailing list.
+Our new colleague {N} starts in May.
+The tenant, {N}, lives at {A}{T}.
+The tenant, {F}, lives at {A}{T}.
+Please transfer the amount to {N}, {A}{U}.
+Name: {N}\nPhone: {P}\nE-mail: {E}\nStreet: {A}
+Surname: {F}\nPhone: {P}
+full_name={N};mobile={P};mail={E}
+{"holder": "{N}", "home": "{A}", "mobile": "{P}"}
+{"holder":"{N}","mail":"{E}","active":true}
+{"owner":{"label":"{F}","mail":"{E}"},"size":3}
+Doctor on duty: Dr. {N}, ward 4, {P}
+Mr. {N} signed the lease on 12 May.
+Ms {F} signed the lease on 12 May.
+Prof. {N} teaches statistics; write to {E}.
+According to {N}, the meeting is cancelled.
+Interview with {N} ({E})
+In case of emergency inform {N}, {P}.
+Visit us at {A}{U} or use {P}.
+The shop moved its counter from {A} to {A}{T}.
+You can reach me under {P} after six.
+Fax {P}, office {P}
+Mobile: {P}
+Hotline {P} (weekdays)
+Questions? Write to {E} or dial {P}.
+Send the form to {E}.
+To: {N} <{E}>\nSubject: invoice {D}
+From: {E}\nTo: {E}
+My address has changed: {A}{T}
+Bring the keys to {A}.
+Leave it with {N} at {A}{U}
+The driver rang at {A} twice.
+Applicant: {N}, {I}.
+His {I} was entered twice.
+Please verify {I} before payout.
+Copy of {I} attached.
+user {E} logged in from 192.0.2.14
+login failed for "{E}" (3 attempts)
+password reset requested by {E}
+2021-04-01 12:00:03 INFO shipment handed to {N} ({A})
+2021-04-01 12:00:03 INFO sms to {P} accepted
+level=warn actor="{N}" action=delete target={D}
+level=warn actor="{F}" action=delete target={D}
+caller='{N}' number='{P}' duration=34
+<td>{N}</td><td>{P}</td><td>{A}</td>
+<p>{N}<br>{A}</p>
+<li>{N}, {P}</li>
+**{N}** needs a second look
+_{N}_ needs a second look
+1. {N}, {P}
+- {N} / {E}
+* {N} - {A}
+customer;phone;mail\n{N};{P};{E}
+first,last,street\n{N},{A},{P}
+[09:12] {N}: can you look at this?
+[09:12] anna: {N} wants to know about invoice {D}
+[09:14] ops: {P} rang again
+Guest list: {N}, {N} and {N}.
+Seats for {F} and {N} were changed.
+Is {N} still with us?
+Where does {N} work now?
+This is {N} speaking.
+Speak to {N} first.
+The report was written by {N}.
+A letter from {N} arrived.
+Invoice for {N}, total EUR 12.30.
+Invoice for {F}, total EUR 12.30.
+The claim of {N} was approved.
+Booked for {N}, room {D}.
+Witness {N} confirms this; {P}.
+cc: {E}, {E}
+Guten Tag Herr {N}, Ihre Rechnung liegt bei.
+Guten Tag Frau {F}, Ihre Rechnung liegt bei.
+Sehr geehrte Frau {N},\nvielen Dank für Ihren Auftrag.
+Viele Grüße\n{N}
+Beste Grüße,\n{F}
+Ansprechpartner ist {N}, Telefon {P}.
+Name: {N}, Anschrift: {A}{T}
+Der Patient {N} wohnt in der {A}.
+Die Mieterin {N} zieht aus; Nummer {P}.
+{N} hat gestern gekündigt.
+{N} bittet um Antwort an {E}.
+{F} bittet um Antwort an {E}.
+Laut {N} fehlt die Unterschrift.
+Wir trafen {N} auf der Messe.
+Das Büro ist jetzt {A}{T}.
+Bitte an {A} liefern.
+Erreichbar unter {P} oder {E}.
+Handy: {P}
+Die Kopie von {I} liegt bei.
+Antrag von {N}, {I}
+Estimado Sr. {N}:\nadjuntamos la factura.
+Estimada Sra. {F}:\nadjuntamos la factura.
+Atentamente,\n{N}
+Nombre: {N}\nDomicilio: {A}{T}
+El paciente {N} vive en {A}{U}.
+La inquilina {N} llamó desde el {P}.
+{N} pidió una copia; correo {E}.
+{F} pidió una copia; correo {E}.
+Según {N}, falta la firma.
+Nuestro teléfono es {P}.
+Escriba a {E} o llame al {P}.
+La tienda está en {A}.
+Solicitud de {N}, {I}
+Adjunto copia de {I}.
+Bonjour Monsieur {N}, votre facture est jointe.
+Bonjour Madame {F}, votre facture est jointe.
+Bien à vous,\n{N}
+Nom : {N}\nAdresse : {A}{T}
+Le patient {N} habite {A}.
+La locataire {N} a téléphoné du {P}.
+{N} demande une copie ; courriel {E}.
+{F} demande une copie ; courriel {E}.
+Selon {N}, il manque la signature.
+Notre numéro est le {P}.
+Écrivez à {E} ou appelez le {P}.
+Le magasin se trouve {A}.
+Demande de {N}, {I}
+Copie de {I} jointe.
+担当者 {N}（{E}）
+お電話は {P} まで。
+お客様 {N} のメールは {E}
 {N}, {A}{U}, {P}
 {N}, {A}{T}, {P}
-<b>{N}</b><br/>{A}{U}<br/>{P}
-""".strip().splitlines()
-
-# Look-alikes without personal data.
-PLAIN = """
-The Summer Lane campaign doubled churn signals for amber-goods-00096 within 138 hours.
-Please mark offsets as done only after the sink has answered.
-Please Mark offsets 3351587103 to 7305749487 on partition 619.
-Will retry with batch size 213 and watch consumer lag.
-Max lag stays below 958 when stream-monitor runs 709 workers.
-5 North shards and 12 Stream partitions were moved to wallet-adapter in April.
-Events for ostrava-lane arrived 528 minutes late after the link at 203.0.113.167 came back.
-Ticket closed: ledger-sync at 6.14.43 no longer drops inventory_delta.
-Summer Lamp (SK-KIT-0351) is listed with 446 in stock although the last count said 108.
-Grace Speaker (SK-AUD-9494) is listed with 99 in stock.
-Der Artikel Grace Speaker (SK-AUD-9494) ist laut Bestandsführung 99-mal vorhanden.
-Der Artikel Folded Blanket (SK-LIG-7747) ist laut Bestandsführung 110-mal vorhanden.
-Quedan 145 unidades de Summer Lamp (SK-LIG-9477) según el último recuento.
-Il reste 616 pièces de Copper Mug (SK-KIT-0510) d'après l'inventaire.
-Offsets 3302034669 to 7932212061 on partition 727 were read twice.
-(offset 2218562870) The price of Amber Lantern was split.
-Epoch 1698482339401 is the first record that carries event_timestamp.
-Again, epoch 1646949032290 is the first record that carries payload_version.
-pallet 89-255-563
-Carton no. 87-613-893 went with order #0062751647, so stock of SK-OUT-1046 is short by 106.
-order=ord-020973012 sku=SK-KIT-5317 qty=172 total=USD 55198.81
-topic=orders partition=789 offset=2245596059 took=394ms
-commit ok ts=1718435878389 records=2367686
-peer 198.51.100.101 closed the connection, retry in 53 ms
-checksum QX-797-427
-checksum QX-16-46-76-A
-Deduplication kept 2282128 of 9512843 events.
-The file landing/products/2021-10-03/part-98772.jsonl holds 1,644,049 lines; 31 of them do not parse.
-@channel Section 4 of the runbook says to stop stream-monitor first; we did it the other way round.
-replay@592x
-The nightly backfill kept back 488 deletes in a row so the alarm at 50.0% never fired.
-The stock count reordered the price of Quiet Kettle and nobody minded.
-Trace evt-7ef871d7010d7353 can be followed through catalog-editor and metrics-writer.
-Reconciliation for 2023/03/10 failed: difference EUR 2781.40, 291 orders.
-On 2024-06-27, max lag stays below 349 when stream-monitor runs 667 workers.
-Late by 229 h, rejected.
-tenant=ostrava-lane late_by=291s accepted
-The hourly roll-up hid about 87.4% of the sessions twice within 749 minutes.
-Der nächtliche Lauf korrigierte den Tageswert vom 2021-12-27 ohne Meldung.
-Bitte zuerst stream-monitor anhalten, dann system leeren.
-Die Bestellung order #0012110017 wurde doppelt übertragen, Zahlung über $ 10036.01.
-Der größte Mandant verwarf den Preis von Quiet Kettle während replay-runner stillstand.
-Um 17:31 UTC war ledger-sync nicht erreichbar, consumer lag fiel auf 17.8%.
-Le plus gros locataire a rejeté environ 56.4% des sessions avant 19:55.
-El archivo landing/orders/2021-03-20/part-44223.jsonl tiene 388 líneas ilegibles.
-Nothing to do for finance ops.
-Nothing to do for the on-call team.
-FYI — nothing to do for support.
-Hope this helps, Chance is small that April Reed shards come back.
-Will Bishop shards be moved? The Hope Marsh campaign and the Reed Lane rollout doubled events.
-Rusty Lane is a test tenant. Stillwater and Bishop are campaign names.
-The Grace Period on orders hides anything under 785 seconds. #695
-Nobody noticed because the grace period on products hides anything under 785 seconds.
-We backfilled 2021-12-02 for pippin-audio-00162; payment success rate moved from 3,064,328 to 2,118,614. #44
-passport no. is missing, SSN is a required field, the NINO column is empty.
-card ending 4149, amount EUR 86443.20
-INFO  [tenant-router] {"event_id":"evt-8ebb3bf82fafd112","offset":1954188510,"lag":423,"field":"event_timestamp"}
-DEBUG [ledger-sync] {"event_id":"evt-76599fd84e34e297","offset":5193423578,"lag":229,"field":"risk_score"}
-WARN  [ledger-sync] {"event_id":"evt-bef518851b80e2d2","offset":8384628528,"lag":250,"field":"discount_amount"}
-""".strip().splitlines()
-
-# Made-up name parts that no directory need know.
-GIVEN = "Ivo Goran Noor Hanneke Corvin Wystan Xenia Zofia Fenna Caspian Joy Tomas Amber Bao Lieke Marwan Ayo Dunja Sanne Iker Nuria Oisin Petra Radek Salma Teun Ursel Vito Wies Yara Zeno Elodie Grace Grace Amber Joy Hope".split()
-STEMS = "Soko Xiang Kuzna Dabro Achter Jokin Rasmun Kowa Ueha Okon Cruz Quispe Tana Wojta Halda Farqu Erca Eskel Ashgro Marti Pelle Vossen Tolva Merid Grasko Hollen".split()
-ENDS = "lenka moto rov vicz veld vaara dsen lenta rada jiro alma luna bero rski rsen harne noglu unde ve-Tull nelli grin aard berg ska nen worth".split()
-DOMAINS = "postbox.example.org larkmail.example quietpost.test mail.tidewater.invalid inbox.example.net team.harrowgate.test büro-post.example correo.example firma.example.com nordmail.test".split()
-EN = "Old Foundry|Saltbrook|Marrowby|Kittiwake|Wexcombe|Pell Hollow|Larchmere|West Ember|Juniper Bend|Tallowgate|Greenholt|North Quay|Ash Hill|Fenwick".split("|")
-ROADS = "Street|St|Road|Rd|Avenue|Ave|Blvd|Lane|Drive|Dr.|Way|Court|Terrace|Place|Close".split("|")
-DE = "Kestrelweg|Lindenhofstraße|Schleusenstr.|Birkengasse|Mühlenplatz|Am Torfgraben|An der Alten Werft|Rosenallee|Hafenstraße|Am Neuen Ufer".split("|")
-FR = "chemin de la Source|avenue du Vieux-Moulin|impasse des Grives|rue des Ormes-Gris|boulevard des Tanneurs|rue de la Gare|place du Marché".split("|")
-ES = "Calle de los Fresnos|Avenida del Molino Viejo|Plaza de las Norias|Paseo de la Ribera|Calle del Puente|Avenida de la Paz".split("|")
+{N}, {A}{T}, {E}
+{N}; {P}
+"{N}", "{P}"
+Ring {N} on {P} after lunch.
+Ring {F} on {P} after lunch.
+Give {N} at {P} the good news.
+Left keys for Mr {N} at {P}, invoice {D}.
+EUR {D}.40 went back to {N}, who showed {I}.
+A cheque for {N}, they showed {I}.
+Verified: {N}, {I}, {A}{T}
+Verified: {F}, {I}, {A}{T}
+{N} showed {I} at the counter.
+{F} showed {I} at the counter.
+Spoken to {N} and {N}; both agree.
+Spoken to {F} and {N}; both agree.
+Who hired {N}? The board did.
+Ms {N} lives at {A} now and needs a new card.
+Mrs. {N} lives in {A}{T} and needs a new card.
+in the margin: "{N} / {P} / {A}{U}"
+The box of {N} stands at {A}.
+Signed by {N}
+signed {N}
+Issue raised by {N}, reachable at {E}
+CRM: {N}, {I}, {A}{U}
+CRM: {F}, {I}, {A}{T}
+VIP: {N}
+Attn: {N}\n{A}
+<b>{N}</b>, {A}
+<em>{N}</em> {P}
+{"guest":{"name":"{N}","tel":"{P}"}}
+{"guest":{"name":"{F}","tel":"{P}"}}
+user="{N}" ip=10.1.2.3
+user="{F}" ip=10.1.2.3
+holder: "{N}" / "{E}"
+{P} does not work, use {P}
+Called {P} three times.
+Hung up: {P}
+{N} reports that the page is blank since 10:15.
+{F} reports that the page is blank since 10:15.
+{N}, no answer so far.
+Asking {F}, no answer so far.
+Post geht an {A}.
+Post geht an {A}, nicht an das alte Haus.
+Die Nachbarin in der {A} hat den Schlüssel.
+Das Haus an der {A} steht leer.
+Phone {F} on {P} or write.
+A note for Mrs {F} at {P}, page {D}.
+Frau {N} nannte {I}.
+Herr {F} nannte {I}.
+Bitte {N} über {P} verständigen.
+Bitte {F} über {P} verständigen.
+{N} wohnt jetzt {A}{T}.
+Die Sendung für {N} liegt in der {A}.
+{N} sieht seit 10:15 Uhr keine Werte.
+Avisar a {N} en el {P}.
+Avisar a {F} en el {P}.
+El señor {N} enseñó {I}.
+La caja de {N} está en {A}{U}.
+{N} no ve nada desde las 10:15.
+Prévenir {N} au {P}.
+Prévenir {F} au {P}.
+M. {N} a montré {I}.
+La boîte de Mme {N} est au {A}.
+{N} ne voit rien depuis 10:15.
+{A}{T}
+{P}
+{E}
+{N}
+"""
+
+# No sentence of these stands in FIT_CARRIERS; no word before or after a slot is meant to be the same.
+HELD_CARRIERS = r"""
+Good morning {N}, the plumber comes at noon.
+Good morning {F}, the plumber comes at noon.
+Warmly,\n{N}
+Many thanks and see you soon,\n{N}
+Student {N} failed the exam, mail {E}.
+Madam {N} complained about the soup.
+{N} bought two tickets and paid in cash.
+{F} bought two tickets and paid in cash.
+{N} never replied to {E}.
+I forwarded everything to {N} yesterday.
+We spoke about this with {N} on the train.
+The landlord is {N}; his flat is {A}{T}.
+Parcel addressed to {N}, {A}{U}, was returned.
+beneficiary: {N}\niban missing\nhome: {A}
+recipient_name="{N}" recipient_phone="{P}"
+{"member": "{N}", "tel": "{P}", "street": "{A}"}
+{"user":{"display":"{N}","login":"{E}"}}
+DEBUG 11:02 queued letter for {N}, {A}
+WARN 11:02 bounced {E} after 4 tries
+INFO 11:02 text message to {P} delivered
+<span>{N}</span> <i>{E}</i>
+| {N} | {P} | {A} |
+passenger,phone\n{N},{P}
+{P} picked up after three rings.
+Ring the bell at {A} and wait.
+They opened a branch at {A}{T}.
+Our nurse {N} will see you, extension {P}.
+Dial {P} and ask about {X}.
+Direct mail to {E} please; {X} is sold out.
+Her {I} is on file.
+Checked against {I}: no match.
+Can {N} come on Friday?
+Why was {N} not invited?
+Sincerest regards\n{N}\n{A}
+Herr Doktor {N} operiert heute.
+Nachbarin {N} nahm das Paket, Klingel {A}.
+Schöne Grüße sendet {N}
+Schüler {N} fehlt; Eltern {P}.
+{N} kündigte den Vertrag.
+Der Brief an {A} kam zurück.
+Schreiben Sie an {E}.
+Beleg zu {I} fehlt.
+Querida {N}: nos vemos el lunes.
+El alumno {N} no vino; padres {P}.
+{N} compró dos entradas.
+Vivimos en {A}{T}.
+Mande todo a {E}.
+Falta el original de {I}.
+Chère {N}, à lundi.
+L'élève {N} est absent ; parents {P}.
+{N} a acheté deux billets.
+Nous habitons {A}{T}.
+Envoyez tout à {E}.
+Il manque l'original de {I}.
+会員 {N} 様、{P}
+送信先 {E}
+{N}\n{A}\n{P}
+{N} | {E}
+"""
+
+# Look-alikes without personal data; {X} is a thing with a name of two words.
+FIT_PLAIN = r"""
+The {X} is sold out until June.
+{X} ({D}) ships on Friday.
+{X} and {X} were moved to aisle {D}.
+We counted {D} pieces of {X} last night.
+Der {X} ist ausverkauft.
+Vom {X} sind noch {D} Stück da.
+El {X} está agotado.
+Quedan {D} del {X} en la tienda.
+Le {X} est épuisé.
+Il reste {D} exemplaires du {X}.
+{X} opened in 1994 near the harbour.
+Campaign {X} ended in {M}.
+The {X} campaign brought {D} visitors.
+Read the {X} page of the manual.
+Add {X} to the basket, then pay.
+Price of {X}: EUR {D}.50
+The colour of {X} fades when the {X} is wet.
+Parts for {X} and tools by {X} were sent with {X}.
+Die Farbe von {X} verblasst, weil {X} nass ist.
+Teile für {X} kamen mit {X} ohne Schrauben.
+El color de {X} se pierde porque {X} está mojado.
+Piezas para {X} con {X} sin tornillos.
+La couleur de {X} passe parce que {X} est mouillé.
+Pièces pour {X} avec {X} sans vis.
+title="{X}" qty={D}
+{"item": "{X}", "stock": {D}}
+item;qty\n{X};{D}
+Release Notes for version 4.12.0
+Known Issues: none. Next Steps: wait.
+Weekly Report, Data Quality, Kafka Connect and Spark Streaming
+New York, San Sebastian and Hong Kong are three stops.
+Monday Morning is when the Night Shift ends.
+Please Read The Manual. Do Not Open.
+May {D} was a Sunday.
+March sales rose, April sales fell, June will tell.
+Will the queue drain? Mark the row as done. Grace is a virtue.
+Hope is not a plan and Joy is not a metric.
+Chapter 4, section {D}, page {D}
+Room {D}, floor 3, seat 12A
+build 20211204-{D} took 61 s
+offset {D} up to {D}, partition 7
+{D} rows in {D} ms, {D} retries
+id={D} parent={D} seq={D}
+evt-{H} was sent twice, see ord-{D}
+trace {H} span {H}
+checksum {H} differs
+invoice {D}-{D}, ticket #{D}, batch {D}
+tracking no. {D} {D} {D}
+EUR {D}.{D}, USD 1,{D}.00
+2021-04-01 12:00:03.{D} worker-3 started on 10.0.0.{D}
+ts={D}{D} took={D}ms
+version 10.4.{D} replaces 10.3.{D}
+12 North gates and 5 stream partitions were closed.
+3 way handshake, 2 way sync, 4 row layout
+Please mark 20 rows on the way to page 3.
+It takes 15 minutes on the road.
+5 place settings and 2 court dates
+Platz 14 ist frei, Gleis 3 auch.
+Der Ring 7 fehlt. Am Markt 3 Stände.
+la rue est fermée, la place aussi
+la calle está cortada, la plaza también
+passport control is closed; the tax form changed
+the SSN column is empty and no document was attached
+phone support is closed, mail us later
+who: nobody, what: nothing
+From Monday to Friday, from {X} to {X}
+Thanks, all. Regards from the team.
+Hello everybody, hello team, dear customer
+Asked the vendor; no answer.
+With Spark and with Kafka, by Friday, for Finance Ops
+customer: unknown, contact: none, name: n/a
+user=root host=db-3 port=5432
+error: Connection Reset; cause: Broken Pipe
+Owner: Platform Team. Reviewer: Data Crew.
+the printer was offline while the mail-gateway is fine, so the job is lost
+if db-writer was restarted then cache-node is cold and says nothing
+sales fell while stocks rose, though nobody asked why
+after the upgrade web-front was slow because log-shipper has no disk
+the review says that two of the tables are empty and one is not
+she said it works, he said it does not, we told them to wait
+a small team asked for more time and was given none
+the tenant paid late and the guest left early, so the owner kept waiting
+a customer called twice, the driver lost track of time and hid boxes in the van
+please mark pages as read and max out the card, or will call back later
+again, max speed stays low; hope nobody lost count
+user logged out, member logged in, the colleague quietly removed chairs
+the large tenant sent letters back, the small tenant held back parcels
+two visitors and one student went home, both asked for rooms on weekends
+she asked around, he asked twice, we told everyone, they met again
+disk usage is high, office hours moved from nine to ten, train tickets have gone up
+opening hours moved from {D} to {D}; floor space was let
+et train tickets est en hausse, y office hours es menor, und disk usage ist hoch
+on Monday disk usage fell to {D}%, and book sales rose
+für mill-house wurde neu gezählt, für hill-farm-{D} nicht
+{D} {M} was cold in the south; house prices were up
+from time to time, by and large, with care and on purpose, for ever
+all of the parts were sent by rail and paid on arrival
+der Drucker ist aus, während der Rechner läuft, und keiner weiß warum
+die Werte sind falsch, weil das Lager nicht gezählt hat
+nach dem Neustart war mail-gateway langsam und hat nichts gesagt
+la impresora está apagada mientras el servidor funciona y nadie sabe por qué
+los valores son falsos porque el almacén no ha contado
+l'imprimante est éteinte tandis que le serveur marche et personne ne sait pourquoi
+les valeurs sont fausses parce que le magasin n'a pas compté
+{D} {X}, {D} {X} and {D} more in {M}
+The {X} store asked for {D} boxes.
+Write-offs and Write-ups, see Annex B. Ship Now, Pay Later.
+Send REF/{D} to the printer. Print INV-{D} again.
+From 10:15 the Main Hall was closed. To the left is Hall Two.
+"""
+HELD_PLAIN = r"""
+Our {X} sells well in winter.
+{X} was recalled, {D} units.
+Look at {X} or at {X} instead.
+Unser {X} kommt wieder.
+Nuestro {X} vuelve pronto.
+Notre {X} revient bientôt.
+product: {X}\nleft: {D}
+Open Questions and Final Remarks follow.
+Cape Town, Los Angeles and Buenos Aires
+Late Summer, Early Spring
+order {D} was split into {D} and {D}
+shard {H} on node 10.1.{D}.4
+{D} of {D} checks passed in {D} s
+ISBN 978-3-{D}-{D}-1
+lane 4 is blocked, way 2 is free
+Weg 3 ist gesperrt
+"""
+
+@dataclass(frozen=True)
+class Half:
+    """One of the two halves. Streets, domains and name syllables are made up."""
+
+    carriers: tuple[str, ...]
+    plain: tuple[str, ...]
+    given: tuple[str, ...]
+    stems: tuple[str, ...]
+    ends: tuple[str, ...]
+    domains: tuple[str, ...]
+    english: tuple[str, ...]
+    german: tuple[str, ...]
+    french: tuple[str, ...]
+    spanish: tuple[str, ...]
+    adjectives: tuple[str, ...]
+    nouns: tuple[str, ...]
+
+
+def _lines(text: str) -> tuple[str, ...]:
+    return tuple(line.replace("\\n", "\n") for line in text.strip().splitlines())
+
+
+FIT = Half(
+    _lines(FIT_CARRIERS), _lines(FIT_PLAIN),
+    tuple("Aleksy Birte Cosmin Delphine Edgars Fiorella Gunnel Henrike Ilse Jorunn Kacper Leonor Mirela Nils Odile Pirjo Quim Rasa Sverre Tiphaine Ulrike Vasco Wilma Ximena Yannis Zita Anne-Lise Karl-Heinz Rose Victor Melody".split()),
+    tuple("Abra Bodle Carmo Drago Emmer Feldno Gerva Hollo Ivano Jespe Klimo Lamber Mazu Nordst Orlo Pavli Quinte Rosca Stane Trevi Ulmo Varga Wende Yaro Zeller".split()),
+    tuple("cki dóttir ez feld ffy gaard hauer ić kamp lund mann nova oğlu pulos quist rini schmied tello uk vitch wood ysen zano bury ford ham ley".split()),
+    tuple("mailhub.example.com letters.test correo.invalid post.example.de courrier.example.fr box7.example inbox-mail.test work.example.co.uk kontor.example uni-mail.invalid".split()),
+    tuple("Oak|High|Fox Hollow|River Bend|Chapel Hill|Kings Court|Market Row|Mill Pond|Station|Church Farm|King Edward|Birch Grove|Long Meadow|Upper Brook|Elm|Victoria Park|North Gate Old|Cedar|Two Rivers|Lower Green|Queens|St Anne".split("|")),
+    tuple("Gartenweg|Bahnhofstraße|Kirchgasse|Am Stadtgraben|An der Neuen Mühle|Marktplatz|Kastanienallee|Schulstr.|Am Alten Hafen|Am Bach|Am Kirchhang|Im Winkel|Am Sportplatz|Uferstraße|Waldring|Zum Breiten Weg".split("|")),
+    tuple("rue du Château|avenue de la Liberté|place des Fontaines|chemin des Vieux-Chênes|boulevard Carnot|impasse du Lavoir|quai de l'Horloge|rue Basse|allée des Sapins".split("|")),
+    tuple("Calle Mayor|Avenida de la Constitución|Plaza del Carmen|Paseo de los Almendros|Camino de las Eras|Calle Nueva|Ronda de San Pedro|Calle del Río Seco".split("|")),
+    tuple(ADJECTIVES), tuple(NOUNS),
+)
+HELD = Half(
+    _lines(HELD_CARRIERS), _lines(HELD_PLAIN),
+    tuple("Ailbhe Bastiaan Ciro Dagny Ewelina Floris Giedre Hjalmar Iduna Joaquim Katja Ludovic Maëlle Nevena Otso Priit".split()),
+    tuple("Arvo Belmo Cindra Dujar Eskil Fonta Gruba Haverk Isidor Jaroso Kettle Lindga Mokri Novalo".split()),
+    tuple("ard bekk cott deira escu fors gild holt iani jevic land montes nescu pont ridge stad".split()),
+    tuple("epost.example.no lettre.invalid mailroom.test buzon.example.es brief.example.at desk.example.org".split()),
+    tuple("Beechwood|Harbour View|Prince Albert|Sandy|West Orchard|Old Tannery|Chestnut Tree|Hawthorn".split("|")),
+    tuple("Lerchenweg|Seestraße|Am Mühlbach|Rathausplatz|Töpfergasse|An der Kleinen Brücke|Eichenallee|Hauptstr.".split("|")),
+    tuple("rue Haute|avenue des Peupliers|place du Théâtre|chemin du Bois|quai des Pêcheurs".split("|")),
+    tuple("Calle Ancha|Avenida del Puerto|Plaza de la Encina|Paseo del Prado Nuevo".split("|")),
+    # none of them in the lists the model knows
+    tuple("crimson dusty fancy giant humble jolly plastic scarlet woolen zesty".split()), tuple("binder bucket-hat cooker doormat eraser funnel kayak ladle napkin stapler teapot thermos tripod zipper".split()),
+)
+#: Share of name parts taken from the directory, which never has all.
+KNOWN = 0.55
+ROADS = "Street|St|Road|Rd|Avenue|Ave|Blvd|Lane|Drive|Dr.|Way|Court|Terrace|Place|Close|Square|Crescent|Row".split("|")
+MONTHS = "January February March April May June July August September October November December".split()
 LABELS = {
-    "ssn": "SSN|social security no.|soc. sec.|social security number",
-    "nino": "NINO|NI number|national insurance no.",
+    "ssn": "SSN|social security number|social security no.|Social Sec. No.",
+    "nino": "NINO|national insurance number|NI no.",
     "dni": "DNI|NIF|DNI/NIF",
-    "passport": "passport|passport no.|travel document|doc. no.",
-    "tax": "tax id|TIN|Steuer-ID|tax number",
+    "passport": "passport number|passport|travel document no.|Reisepass|pasaporte|passeport",
+    "tax": "tax number|TIN|Steuernummer|tax ID",
 }
 
 
 class Maker:
     """Made-up values from a seeded generator."""
 
-    def __init__(self, given: tuple[str, ...], family: tuple[str, ...], seed: int):
-        self.r = random.Random(seed)
-        self.given, self.family = given or tuple(GIVEN), family or ("Kowalenta",)
+    def __init__(self, given: tuple[str, ...], family: tuple[str, ...], seed: int, half: Half = FIT):
+        self.r, self.half = random.Random(seed), half
+        self.given, self.family = given or half.given, family or half.stems
 
     def cased(self, s: str) -> str:
         x = self.r.random()
         return s.upper() if x < 0.06 else s.lower() if x < 0.14 else s
 
     def given_name(self) -> str:
-        return self.r.choice(self.given) if self.r.random() < 0.68 else self.r.choice(GIVEN)
+        return self.r.choice(self.given) if self.r.random() < KNOWN else self.r.choice(self.half.given)
 
     def family_name(self) -> str:
-        one = lambda: self.r.choice(self.family) if self.r.random() < 0.68 else self.r.choice(("", "", "", "", "O'", "de la ", "van der ")) + self.r.choice(STEMS) + self.r.choice(ENDS)
+        one = lambda: self.r.choice(self.family) if self.r.random() < KNOWN else self.r.choice(("", "", "", "", "O'", "de la ", "van der ")) + self.r.choice(self.half.stems) + self.r.choice(self.half.ends)
         return f"{one()}-{one()}".replace("de la ", "").replace("van der ", "") if self.r.random() < 0.06 else one()
 
     def name(self) -> str:
@@ -285,7 +510,7 @@ class Maker:
             return self.cased(f"{g} {self.r.choice('ABCDEGHJKLMPRST')}. {f}")
         return self.cased(f"{g} {f}")
 
-    def half(self) -> str:
+    def half_name(self) -> str:
         x = self.r.random()
         return self.cased(self.family_name()) if x < 0.7 else f"{self.given_name()} {self.r.choice('ABDEHJKLMST')}." if x < 0.9 else self.given_name()
 
@@ -293,7 +518,7 @@ class Maker:
         r, g = self.r, re.sub(r"[^a-z]", "", self.given_name().lower())
         f = re.sub(r"[' ]", "", self.family_name().lower())
         local = r.choice((f"{g}.{f}", f"{g[:1]}{f}", f"{f}_{g}", f"{g}{r.randrange(99)}", f"orders{r.randrange(9)}.{f[:4]}", f"{g}.{f}+shop", f"{g}.{f}+{r.randrange(9)}"))
-        domain = r.choice(DOMAINS)
+        domain = r.choice(self.half.domains)
         x = r.random()
         if x < 0.06:
             return f"{local} [at] {domain.replace('.', ' [dot] ')}"
@@ -340,34 +565,56 @@ class Maker:
         x = r.random()
         if x < 0.55:
             road = r.choice(ROADS)
-            return self.cased(f"{n}{r.choice(('', '', '', 'B'))} {r.choice(EN)} {road}")
+            return self.cased(f"{n}{r.choice(('', '', '', 'B'))} {r.choice(self.half.english)} {road}")
         if x < 0.72:
             n = r.randrange(1, 199)
-            return f"{r.choice(DE)} {n}{r.choice(('', '', 'a', 'c', f'-{n + 2}'))}"
+            return f"{r.choice(self.half.german)} {n}{r.choice(('', '', 'a', 'c', f'-{n + 2}'))}"
         if x < 0.86:
-            return f"{r.randrange(1, 150)}{r.choice(('', ',', ' bis', ' ter,'))} {r.choice(FR)}"
-        return f"{r.choice(ES)}{r.choice((', ', ' n.º ', ' '))}{r.randrange(1, 150)}"
+            return f"{r.randrange(1, 150)}{r.choice(('', ',', ' bis', ' ter,'))} {r.choice(self.half.french)}"
+        return f"{r.choice(self.half.spanish)}{r.choice((', ', ' n.º ', ' '))}{r.randrange(1, 150)}"
+
+    def thing(self) -> str:
+        """A product, place or campaign whose name has the look of a person's."""
+        r = self.r
+        first = r.choice(self.half.adjectives) if r.random() < 0.7 else r.choice(self.given)
+        y = r.random()  # parts of the directory may be ordinary words as well
+        last = r.choice(self.half.nouns) if y < 0.8 else r.choice(("lane", "road", "street", "way")) if y < 0.88 else r.choice(self.family)
+        x = r.random()
+        return f"{first} {last}".lower() if x < 0.06 else f"{first} {last}".upper() if x < 0.1 else f"{first.capitalize()} {last.capitalize()}"
+
+    def town(self) -> str:
+        r = self.r
+        one = r.choice(self.half.stems).capitalize() + r.choice(("ford", "stedt", "ville", "burg", "mar", "port"))
+        return r.choice((one, one, f"{r.choice(('Port', 'San', 'Bad', 'New', 'Saint', 'Villa', 'Upper', 'Neu'))} {one}", f"Villar del {one}", f"Villa {one} del Río", f"Saint-{one}"))
+
+    def row(self) -> tuple[str, list[tuple[int, int, str]]]:
+        """Fields in any order, with a separator as tables, cards and signatures have it."""
+        fields = self.r.sample(("{N}", "{P}", "{E}", "{A}{T}", "{D}", "{X}"), self.r.choice((2, 3, 4)))
+        return self.filled(self.r.choice((";", ",", ", ", " | ", "\t", "\n", " / ", "<br/>", " - ", "</b>, ", "; ", " · ")).join(fields) + self.r.choice(("", "\n", ".", ";")))
 
     def sentence(self) -> tuple[str, list[tuple[int, int, str]]]:
-        return self.filled(self.r.choice(CARRIERS).replace("\\n", "\n") if self.r.random() < 0.72 else self.r.choice(PLAIN))
+        x = self.r.random()
+        return self.row() if x < 0.1 else self.filled(self.r.choice(self.half.carriers if x < 0.62 else self.half.plain))
 
     def filled(self, carrier: str) -> tuple[str, list[tuple[int, int, str]]]:
+        r = self.r
+        values = {"{N}": ("name", self.name), "{E}": ("email", self.email), "{P}": ("phone", self.phone), "{A}": ("address", self.address)}
+        others = {
+            "{F}": self.half_name, "{X}": self.thing, "{M}": lambda: r.choice(MONTHS), "{D}": lambda: self.digits(r.choice((1, 2, 3, 4, 5, 8, 9, 10, 13))), "{H}": lambda: "".join(r.choice("0123456789abcdef") for _ in range(16)),
+            "{U}": lambda: r.choice(("", "", ", Apt 4", ", flat 2B", ", 3rd floor", ", 2.º A", ", Hinterhaus")), "{T}": lambda: r.choice(("", "", f", {self.digits(5)} {self.town()}", f", {self.town()}", f", {self.town()} {self.digits(5)}")),
+        }
         text, spans = "", []
-        for part in re.split(r"(\{[NFEPIAUT]\})", carrier):
-            kind = {"{N}": "name", "{E}": "email", "{P}": "phone", "{A}": "address", "{I}": "id_number"}.get(part)
-            if part == "{F}":
-                text += self.half()
-            elif part == "{U}":
-                text += self.r.choice(("", "", ", Apt 32", ", unit 6C", ", Port Ellery", ", 3.º B"))
-            elif part == "{T}":
-                text += self.r.choice(("", ", 30728 Hollinford", ", 11616 Villarosa del Río", ", Neustedt"))
+        for part in re.split(r"(\{[NFEPIAUTXMDH]\})", carrier):
+            if part in others:
+                text += others[part]()
             elif part == "{I}":
                 label, value = self.identity()
                 text += label
                 spans.append((len(text), len(text) + len(value), "id_number"))
                 text += value
-            elif kind:
-                value = {"name": self.name, "email": self.email, "phone": self.phone, "address": self.address}[kind]()
+            elif part in values:
+                kind, make = values[part]
+                value = make()
                 spans.append((len(text), len(text) + len(value), kind))
                 text += value
             else:
@@ -375,28 +622,21 @@ class Maker:
         return text, spans
 
 
-def sentences(given: tuple[str, ...], family: tuple[str, ...], seed: int, n: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """``n`` texts of one to three sentences, joined as chats, notes and paragraphs join them."""
-    m = Maker(given, family, seed)
+#: What stands between the sentences of a text.
+JOINTS = (" ", "\n", "\n", "\n\n", "  ", "\r\n", "\n- ", "\n[08:15] bot: ", "\n[22:40] night shift: ", " / ", "; ")
+
+
+def sentences(given: tuple[str, ...], family: tuple[str, ...], seed: int, n: int, half: Half = FIT) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """``n`` texts of one to four sentences, joined as chats, notes and paragraphs join them."""
+    m = Maker(given, family, seed, half)
     out = []
     for _ in range(n):
         text, spans = "", []
-        for i in range(m.r.choice((1, 1, 2, 3))):
+        for i in range(m.r.choice((1, 1, 2, 3, 4))):
             if i:
-                text += m.r.choice((" ", "\n", "\n", "\n\n", "  ", "\n[16:54] oncall-1: ", "\n[05:20] desk: "))
+                text += m.r.choice(JOINTS)
             t, s = m.sentence()
             spans += [(a + len(text), b + len(text), k) for a, b, k in s]
             text += t
         out.append((text, spans))
     return out
-
-
-def unannounced(given: tuple[str, ...], family: tuple[str, ...], seed: int, n: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """``n`` texts in which a name follows a sentence or a speaker, and only an address or phone number follows it."""
-    m = Maker(given, family, seed)
-    out = []
-    for _ in range(n):
-        head = m.r.choice(PLAIN) + m.r.choice((" ", "  ", "\n[16:54] oncall-1: ", "\n[05:20] desk: "))
-        text, spans = m.filled(m.r.choice(UNANNOUNCED))
-        out.append((head + text, [(a + len(head), b + len(head), k) for a, b, k in spans]))
-    return out
