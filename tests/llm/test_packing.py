@@ -64,7 +64,7 @@ def test_empty(spark):
 
 def test_packing_is_spread_over_tasks(spark):
     """Tasks are counted in groups, as sizes are far too small for a task to be made of bytes."""
-    df = packing.windows(items(spark, [(i, 100 + i % 900) for i in range(6000)]), 1000, windows_per_group=32)
+    df = packing.windows(items(spark, [(i, 20 + i % 200) for i in range(30000)]), 1000, windows_per_group=32)
     tasks = df.filter("window_id like 'g-%'").select("window_id", F.spark_partition_id().alias("p")).groupBy("p").agg(F.countDistinct(F.split_part("window_id", F.lit("-"), F.lit(2))).alias("groups")).collect()
     assert len(tasks) > 4 and max(r.groups for r in tasks) < 40
     w = filled(df)
