@@ -50,13 +50,14 @@ def enrich(events: DataFrame, tenants: DataFrame) -> DataFrame:
     return events.join(dim, "tenant_id", "left").withColumn("tenant_missing", F.col("_hit").isNull()).drop("_hit")
 
 
-def windowed(events: DataFrame, size: str = "5 minutes", slide: str | None = None) -> DataFrame:
+def windowed(events: DataFrame, size: str = "5 minutes", slide: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Aggregates per tenant, domain and tumbling or sliding window.
 
     An order counts, with its revenue and units, where it is created; an update of it
     adds nothing. Its revenue is unit_price x quantity, a null quantity being 1; a
     payment's is its amount when authorized and when captured. A value that is no number
-    counts as null. ``events`` has each event once, classified by :func:`classify`.
+    counts as null. ``events`` has each event once, classified by :func:`classify`. Columns
+    ``by`` (what depends on the tenant) are kept beside it.
     """
     number = lambda f, t: F.get_json_object("payload", f"$.{f}").try_cast(t)
     money = "decimal(18,2)"
@@ -67,7 +68,7 @@ def windowed(events: DataFrame, size: str = "5 minutes", slide: str | None = Non
     total = lambda c: F.sum(F.coalesce(c.cast(money), F.lit(0).cast(money)))
     w = F.window("event_timestamp", size, slide) if slide else F.window("event_timestamp", size)
     return (
-        events.groupBy("tenant_id", "domain", w.alias("w"))
+        events.groupBy("tenant_id", "domain", *by, w.alias("w"))
         .agg(
             F.count("*").alias("event_count"),
             (total(order_revenue) + total(payment_revenue)).cast(money).alias("revenue"),
@@ -77,7 +78,7 @@ def windowed(events: DataFrame, size: str = "5 minutes", slide: str | None = Non
             F.count_if(F.col("event_type") == "payment.failed").alias("payment_failure_count"),
             F.count_if(F.col("lateness") == "late_accepted").alias("late_accepted_count"),
         )
-        .select("tenant_id", "domain", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *METRICS)
+        .select("tenant_id", "domain", *by, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *METRICS)
     )
 
 

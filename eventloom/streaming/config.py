@@ -30,6 +30,8 @@ class StreamConfig:
     backoff_seconds: float = 1.0
     tenants: tuple[str, ...] = ()
     kafka_servers: str = ""
+    dlq_topic: str = "dead-letters.events"
+    compact_every: int = 20
     topics: tuple[str, ...] = ("orders.events", "payments.events", "users.events", "products.events", "system.events")
     starting_offsets: str = "latest"
     max_offsets_per_trigger: int | None = None
@@ -44,6 +46,8 @@ class StreamConfig:
             raise ValueError("a slide longer than the window leaves gaps")
         if self.max_retries < 0 or self.backoff_seconds < 0:
             raise ValueError("retries and backoff can't be negative")
+        if self.compact_every < 1:
+            raise ValueError("changes are compacted after one batch at the earliest")
         seconds(self.trigger)
 
     def checkpoint(self, query: str) -> str:
