@@ -60,7 +60,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
-    return drift.typed_table(table(spark, d, "raw_events"), table(spark, d, "payload_fields"))
+    typed = drift.typed_table(table(spark, d, "raw_events"), table(spark, d, "payload_fields"))
+    return typed.withColumn("failed_casts", F.array_join("failed_casts", "|"))
 
 
 def p4_failed_casts(spark: SparkSession, d: str) -> DataFrame:
@@ -222,6 +223,13 @@ _KEYS = """j AS (SELECT landing_file, CASE split_part(event_type, '.', 1) WHEN '
   kv AS (SELECT landing_file, rid, d, v, event_type, unnest(json_keys(p)) AS k, p FROM j),
   f AS (SELECT landing_file, rid, d, v, event_type, k, json_extract_string(p, '$."' || k || '"') AS s, CASE json_type(p, '$."' || k || '"') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean'
     WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind FROM kv)"""
+_TEXTS = "action category channel currency customer_id device_kind failure_code fulfillment_status marketing_campaign_id message name order_id page payment_id payment_method plan product_id referrer region service_name session_id sku status user_id".split()
+_NUMBERS = "amount cache_hit_rate discount_amount duration_seconds error_count inventory_delta kafka_lag latency_ms price quantity risk_score tax_amount throughput_per_minute unit_price".split()
+# a value is there unless it is absent or null; one that can't be read as its column's type is a failed cast
+_TABLE = f"""WITH j AS (SELECT *, CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN payload::JSON END AS p FROM raw_events)
+  SELECT event_id, tenant_id, event_type, payload_version, landing_file, p IS NOT NULL AS is_object, {", ".join(f"p ->> '{n}' AS f_{n}" for n in _TEXTS)}, {", ".join(f"try_cast(p ->> '{n}' AS DOUBLE) AS f_{n}" for n in _NUMBERS)},
+  try_cast(p ->> 'active' AS BOOLEAN) AS f_active, coalesce(array_to_string(list_sort(list_filter([{", ".join(f"CASE WHEN p ->> '{n}' IS NOT NULL AND try_cast(p ->> '{n}' AS DOUBLE) IS NULL THEN '{n}' END" for n in _NUMBERS)},
+  CASE WHEN p ->> 'active' IS NOT NULL AND try_cast(p ->> 'active' AS BOOLEAN) IS NULL THEN 'active' END], lambda x: x IS NOT NULL)), '|'), '') AS failed_casts FROM j"""
 _DRIFT = f"""WITH {_KEYS}, c AS (SELECT domain_name AS d, payload_version AS v, field_name AS k, json_type AS kind, is_required AS req FROM payload_fields),
   known AS (SELECT DISTINCT d, v FROM c),
   sig AS (SELECT *, CASE kind WHEN 'string' THEN 's:' || regexp_replace(lower(s), '[0-9]+', '#', 'g') WHEN 'number' THEN CASE WHEN s SIMILAR TO '.*[.eE].*' THEN 'n:dec' ELSE 'n:int' END WHEN 'boolean' THEN 'b' END AS g FROM f),
@@ -252,6 +260,7 @@ ORACLE = {
     "p3_rolling": f"{_ROLLED} SELECT tenant_id, day AS metric_date, sum_7, sum_30, sum_7::DOUBLE / 7 AS avg_7, sum_30::DOUBLE / 30 AS avg_30 FROM rolled",
     "p3_found": f"{_ROLLED} SELECT tenant_id, strftime(day, '%Y-%m-%d') AS metric_date FROM rolled WHERE day - f >= 29 AND sum_7 * 120 < sum_30 * 7",
     "p4_found": f"{_DRIFT} SELECT DISTINCT * FROM out",
+    "p4_table": _TABLE,
     "p4_failed_casts": f"""WITH {_KEYS}, c AS (SELECT DISTINCT field_name AS k, json_type AS want FROM payload_fields)
       SELECT event_type, k AS field_name, count(*) AS n_failed FROM f JOIN c USING (k) WHERE kind <> 'null' AND CASE want
         WHEN 'number' THEN kind IN ('array', 'object') OR (kind = 'string' AND try_cast(s AS DOUBLE) IS NULL)

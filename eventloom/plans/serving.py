@@ -140,6 +140,9 @@ SQL = {
     "nth_product": "SELECT tenant_id, n, product_id FROM (SELECT tenant_id, product_id, row_number() OVER (PARTITION BY tenant_id ORDER BY product_id) AS k, count(*) OVER (PARTITION BY tenant_id) AS n FROM {tenant_products}) WHERE k = 1 + n % 3",
     "schema_drift_columns": "SELECT domain, field_name, if(old IS NULL, 'only_new', 'only_old') AS side FROM (SELECT domain_name AS domain, field_name, 1 AS old FROM {payload_fields} WHERE payload_version = 1) FULL OUTER JOIN (SELECT domain_name AS domain, field_name, 1 AS new FROM {payload_fields} WHERE payload_version = 2) USING (domain, field_name) WHERE old IS NULL OR new IS NULL",
     "tenants_in_both": "SELECT tenant_id FROM {tenant_metrics_daily} INTERSECT SELECT tenant_id FROM {tenant_config}",
+    "lineage_edges": """WITH e AS (SELECT lower(trim(tenant_id)) AS tenant_id, event_id, event_type, causation_id FROM {raw_events} WHERE trim(tenant_id) <> ''), x AS (SELECT DISTINCT tenant_id, event_id, event_type FROM e)
+      SELECT x.event_type AS cause_type, r.event_type, count(*) AS n FROM (SELECT DISTINCT tenant_id, event_id, event_type, causation_id FROM e WHERE causation_id IS NOT NULL) r JOIN x ON x.tenant_id = r.tenant_id AND x.event_id = r.causation_id GROUP BY ALL""",
+    "ops_lineage": "SELECT tenant_id, event_id, causation_id, event_timestamp FROM {raw_events} WHERE causation_id IS NOT NULL GROUP BY ALL ORDER BY event_timestamp DESC NULLS LAST, event_id, tenant_id LIMIT 10",
     "lineage_orphans": """WITH e AS (SELECT lower(trim(tenant_id)) AS tenant_id, event_id, causation_id FROM {raw_events} WHERE trim(tenant_id) <> '')
       SELECT tenant_id, causation_id, count(*) AS n FROM (SELECT DISTINCT tenant_id, event_id, causation_id FROM e WHERE causation_id IS NOT NULL) r LEFT ANTI JOIN e x ON x.tenant_id = r.tenant_id AND x.event_id = r.causation_id GROUP BY tenant_id, causation_id""",
 }
@@ -256,6 +259,18 @@ def recon_run_all(spark: SparkSession, d: str) -> DataFrame:
     return per.withColumn("status", F.when(F.col("revenue_failed") + F.col("payment_failed") + F.col("activity_failed") > 0, "failed").otherwise("passed"))
 
 
+def ops_reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    """The ten latest outcomes of one tenant's revenue reconciliation."""
+    r = QUERIES["recon_revenue"](spark, d).filter(matches("tenant_id", TENANT))
+    return r.orderBy(F.col("metric_date").desc()).limit(10).select("tenant_id", "metric_date", "status", "revenue_delta", "order_count_delta", "units_sold_delta")
+
+
+def recon_recent(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of the last day before a moment: how many failed, how many ran."""
+    recent = _checks(spark, d).filter((F.col("metric_date") >= "2018-01-27") & (F.col("metric_date") < "2018-01-28"))
+    return recent.agg(F.count_if(F.col("status") == "failed").alias("failures"), F.count("*").alias("total"))
+
+
 def reconciliation_summary(spark: SparkSession, d: str, tenant: str | None = None) -> DataFrame:
     """Per tenant and day since a month before the last: checks run, passed and failed, and the greatest deltas; of one tenant if it is named."""
     r = QUERIES["recon_revenue"](spark, d).filter(matches("tenant_id", tenant))
@@ -322,7 +337,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n, s)
 QUERIES |= {
     f.__name__: f
     for f in (
-        incremental_daily, slice_recompute, pipeline_watermarks, outbox_lease, erasure, erasure_payloads, retention_plan, users_upsert, recon_run_all, reconciliation_summary, reconciliation_summary_tenant, semantic_metrics, data_tests,
+        incremental_daily, slice_recompute, pipeline_watermarks, outbox_lease, erasure, erasure_payloads, retention_plan, users_upsert, recon_run_all, ops_reconciliation, recon_recent, reconciliation_summary, reconciliation_summary_tenant, semantic_metrics, data_tests,
         metric_contract, schema_versions, schema_breaks, lateral_series, latency_percentiles,
     )
 }

@@ -158,6 +158,10 @@ ORACLE = {
     "recon_payment": f"WITH {_RECON_R} SELECT * FROM pv",
     "recon_activity": f"WITH {_RECON_R} SELECT * FROM av",
     "recon_run_all": f"WITH {_RECON_R}, c AS (SELECT 'r' AS k, tenant_id, status FROM rv UNION ALL SELECT 'p', tenant_id, status FROM pv UNION ALL SELECT 'a', tenant_id, status FROM av) SELECT tenant_id, count(*) AS checks_run, count(*) FILTER (k = 'r' AND status = 'failed') AS revenue_failed, count(*) FILTER (k = 'p' AND status = 'failed') AS payment_failed, count(*) FILTER (k = 'a' AND status = 'failed') AS activity_failed, CASE WHEN bool_or(status = 'failed') THEN 'failed' ELSE 'passed' END AS status FROM c GROUP BY 1",
+    "ops_reconciliation": f"WITH {_RECON_R} SELECT tenant_id, metric_date, status, revenue_delta, order_count_delta, units_sold_delta FROM rv WHERE tenant_id = 'larkspur-goods' QUALIFY row_number() OVER (ORDER BY metric_date DESC) <= 10",
+    "recon_recent": f"WITH {_RECON_R}, c AS (SELECT metric_date, status FROM rv UNION ALL SELECT metric_date, status FROM pv UNION ALL SELECT metric_date, status FROM av) SELECT coalesce(sum((status <> 'passed')::INT), 0)::BIGINT AS failures, count(*) AS total FROM c WHERE metric_date = DATE '2018-01-27'",
+    "ops_lineage": "SELECT tenant_id, event_id, causation_id, event_timestamp FROM (SELECT DISTINCT tenant_id, event_id, causation_id, event_timestamp FROM raw_events WHERE causation_id IS NOT NULL) QUALIFY row_number() OVER (ORDER BY event_timestamp DESC NULLS LAST, event_id, tenant_id) <= 10",
+    "lineage_edges": "WITH e AS (SELECT DISTINCT lower(trim(tenant_id)) AS t, event_id, event_type FROM raw_events WHERE trim(tenant_id) <> '') SELECT c.event_type AS cause_type, r.event_type, count(*) AS n FROM (SELECT DISTINCT lower(trim(tenant_id)) AS t, event_id, event_type, causation_id FROM raw_events WHERE causation_id IS NOT NULL) r, e c WHERE c.t = r.t AND c.event_id = r.causation_id GROUP BY 1, 2",
     "recon_two_path": f"""WITH {_PAYMENTS}, {_DAYS}, mart AS (SELECT tenant_id, event_timestamp::DATE AS metric_date, count(*) FILTER (status IN ('authorized', 'captured')) AS ok, count(*) FILTER (status = 'failed') AS bad FROM payments_now GROUP BY 1, 2),
       keys AS (SELECT tenant_id, metric_date FROM mart UNION SELECT tenant_id, metric_date FROM dm),
       v AS (SELECT k.*, 'payment_success_count' AS metric_name, CAST(dm.payment_success_count AS BIGINT) AS s, ok AS m FROM keys k LEFT JOIN dm USING (tenant_id, metric_date) LEFT JOIN mart USING (tenant_id, metric_date)

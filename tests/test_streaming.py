@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.operators import envelopes, event_time
+from eventloom.sources import generator
 from eventloom.streaming import pipeline, sinks, sources
 from eventloom.streaming.config import StreamConfig, seconds
 
@@ -137,3 +138,15 @@ def test_config_is_checked():
     for bad in ({"accept_seconds": 1200}, {"on_time_seconds": 700}, {"slide": "1 hour"}, {"trigger": "soon"}, {"max_retries": -1}, {"compact_every": 0}):
         with pytest.raises(ValueError):
             StreamConfig("c", "o", **bad)
+
+
+def test_generated_events_are_valid_and_repeatable(spark):
+    made = generator.envelopes(spark, 2000, seed=5)
+    v = envelopes.validate(envelopes.parse(made)).cache()
+    assert v.filter("not is_valid").count() == 0
+    shares = {r.tenant_id: r["count"] for r in v.groupBy("tenant_id").count().collect()}
+    assert 800 < shares["alder"] < 1200 and sum(shares.values()) == 2000
+    night, noon = v.filter("hour(event_timestamp) < 5").count(), v.filter("hour(event_timestamp) between 8 and 12").count()
+    assert noon > 4 * night > 0
+    value = lambda seed: sorted(r.value for r in generator.envelopes(spark, 50, seed=seed).repartition(7).collect())
+    assert value(5) == value(5) != value(6)
