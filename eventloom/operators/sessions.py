@@ -75,3 +75,20 @@ def sessions(events: DataFrame, gap_minutes: float = 30, bucket: str = "hour") -
         ((micros(F.col("last.at")) - micros(F.col("first.at"))) / F.lit(1_000_000.0)).alias("duration_seconds"),
         F.col("n").alias("n_events"),
     )
+
+
+def previous(df: DataFrame, keys: list[str], at: str, tie: str, bucket: str = "hour") -> DataFrame:
+    """Adds previous_at: the time of the row before, per key in order of (``at``, ``tie``); null for the first.
+
+    In two levels, as sessions: a lag within each (key, hour), and for the first row of an
+    hour the last time of the hour before it, so that a busy key is no single task.
+    """
+    rows = df.withColumn("_bucket", F.date_trunc(bucket, at))
+    local = [*keys, "_bucket"]
+    inner = rows.withColumn("_before", F.lag(at).over(Window.partitionBy(*local).orderBy(at, tie)))
+    ends = rows.groupBy(*local).agg(F.max(at).alias("_last"))
+    # null keys meet too: the pieces of a key are joined by what they are, not by an equality that null fails
+    ends = ends.select(*local, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_end"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"e.{c}")) for c in local]
+    joined = inner.alias("r").join(ends.alias("e"), same, "left")
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns], F.coalesce("r._before", "e._end").alias("previous_at"))

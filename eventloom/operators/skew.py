@@ -59,14 +59,20 @@ def at_percentile(df: DataFrame, keys: list[str], value: str, tie: str, percent:
     return last.withColumn("_place", place).filter("_place = _left").select(*keys, value, tie)
 
 
-def value_at(df: DataFrame, keys: list[str], value: str, rank: Callable[[Column], Column], coarse: float) -> DataFrame:
-    """Of each key the value at position ``rank(n)``, counted from 1, of its n non-null values in order.
+def values_at(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]], coarse: float) -> DataFrame:
+    """Of each key the values at the positions ``rank(n)``, counted from 1, of its n non-null values in order.
 
-    As :func:`at_percentile` without ties to break: buckets of ``coarse`` values hold the
-    rank, the weights of the values inside one bucket settle it. Result: keys, value.
+    As :func:`at_percentile` without ties to break, and for several ranks at once: the
+    rows become weights of (key, value) in one pass, written once; buckets of ``coarse``
+    values hold the ranks, the weights inside those buckets settle them. Result: keys
+    and a column per rank.
     """
-    rows = df.select(*keys, value).dropna().withColumn("_bucket", F.floor(F.col(value) / coarse).cast("bigint"))
-    counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("n"))
-    bucket = _locate(counts, keys, ["_bucket"], rank(F.sum("n").over(Window.partitionBy(*keys))))
-    finer = rows.join(bucket, [*keys, "_bucket"]).groupBy(*keys, value).agg(F.count("*").alias("n"), F.max("_rank").alias("_wanted"))
-    return _locate(finer, keys, [value], F.col("_wanted")).select(*keys, value)
+    weights = cut_lineage(weighted(df.select(*keys, value).dropna(), keys, value).withColumn("_bucket", F.floor(F.col(value) / coarse).cast("bigint")))
+    counts = weights.groupBy(*keys, "_bucket").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*keys)
+    ranked = counts.withColumn("_upto", F.sum("n").over(w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_total", F.sum("n").over(w))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), rank(F.col("_total")).cast("bigint").alias("_rank")) for name, rank in ranks.items()]))
+    spots = ranked.select("*", wanted.alias("_w")).select(*keys, "_bucket", "_upto", "n", "_w.*").filter("_rank <= _upto and _rank > _upto - n")
+    spots = spots.select(*keys, "_bucket", "_name", (F.col("_rank") - F.col("_upto") + F.col("n")).alias("_wanted"))
+    found = _locate(weights.join(spots, [*keys, "_bucket"]), [*keys, "_name"], [value], F.col("_wanted"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in ranks])

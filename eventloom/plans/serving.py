@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.jsontext import object_map, without_keys
 from eventloom.functions.once import once
 from eventloom.governance import quality, registry, semantic
-from eventloom.operators import outbox, skew, upserts
+from eventloom.operators import outbox, sessions, skew, upserts
 from eventloom.plans import views
 from eventloom.sources.tables import table
 from eventloom.tenancy import key_of, matches
@@ -57,8 +57,6 @@ SQL = {
     "health_rows": "SELECT tenant_id, event_id, service_name, status, latency_ms, error_count, throughput_per_minute, kafka_lag, cache_hit_rate, message, event_timestamp FROM {health} h",
     "session_summary": """SELECT tenant_id, user_id, session_id, min(event_timestamp) AS session_start_at, max(event_timestamp) AS session_end_at, count(*) AS event_count, sum(duration_seconds) AS engaged_seconds,
       array_join(sort_array(collect_set(page)), '|') AS pages_seen FROM {sessions} s GROUP BY tenant_id, user_id, session_id""",
-    "session_gaps": """SELECT tenant_id, event_id, previous_at, (unix_seconds(cast(event_timestamp AS timestamp)) - unix_seconds(cast(previous_at AS timestamp))) / 60D AS minutes_since_previous
-      FROM (SELECT *, lag(event_timestamp) OVER (PARTITION BY tenant_id, user_id, session_id ORDER BY event_timestamp, event_id) AS previous_at FROM {sessions} s)""",
     "date_spine": "SELECT tenant_id, explode(sequence(min(metric_date), max(metric_date), interval 1 day)) AS day FROM {tenant_metrics_daily} GROUP BY tenant_id",
     "inline_values": "SELECT p.tenant_id, k.kind, count(*) AS n FROM {processed_payments} p JOIN (VALUES ('authorized', 'open'), ('captured', 'settled'), ('refunded', 'settled'), ('failed', 'failed')) AS k(status, kind) ON k.status = p.status GROUP BY p.tenant_id, k.kind",
     "backfill_daily": f"""WITH {_FACTS}, spans AS (SELECT tenant_id, min(d) AS a, max(d) AS b FROM (SELECT tenant_id, d FROM od UNION ALL SELECT tenant_id, d FROM pd UNION ALL SELECT tenant_id, d FROM ud) GROUP BY tenant_id),
@@ -325,12 +323,15 @@ def lateral_series(spark: SparkSession, d: str) -> DataFrame:
 
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Nearest-rank percentiles of service latency, the index rounded half to even."""
-    rows = views.health(spark, d).filter("latency_ms is not null").select("service_name", F.col("latency_ms").alias("value"))
-    wide = None
-    for p in (50, 95, 99):
-        one = skew.value_at(rows, ["service_name"], "value", lambda n, p=p: F.bround((n - 1) * p / F.lit(100.0)).cast("bigint") + 1, coarse=10).withColumnRenamed("value", f"p{p}")
-        wide = one if wide is None else wide.join(one, "service_name")
-    return wide
+    nearest = lambda p: lambda n: F.bround((n - 1) * p / F.lit(100.0)) + 1
+    return skew.values_at(views.health(spark, d), ["service_name"], "latency_ms", {f"p{p}": nearest(p) for p in (50, 95, 99)}, coarse=10)
+
+
+def session_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Of each user event the one before it in its session, and the minutes between their seconds."""
+    s = sessions.previous(views.sessions(spark, d), ["tenant_id", "user_id", "session_id"], "event_timestamp", "event_id")
+    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    return s.select("tenant_id", "event_id", "previous_at", ((seconds("event_timestamp") - seconds("previous_at")) / F.lit(60.0)).alias("minutes_since_previous"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n, s) for n, s in SQL.items()}
@@ -338,7 +339,7 @@ QUERIES |= {
     f.__name__: f
     for f in (
         incremental_daily, slice_recompute, pipeline_watermarks, outbox_lease, erasure, erasure_payloads, retention_plan, users_upsert, recon_run_all, ops_reconciliation, recon_recent, reconciliation_summary, reconciliation_summary_tenant, semantic_metrics, data_tests,
-        metric_contract, schema_versions, schema_breaks, lateral_series, latency_percentiles,
+        metric_contract, schema_versions, schema_breaks, lateral_series, latency_percentiles, session_gaps,
     )
 }
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.jsontext import without_keys
 from eventloom.governance import quality, registry, semantic
-from eventloom.operators import envelopes, event_time, outbox, payloads, skew, upserts
+from eventloom.operators import envelopes, event_time, outbox, payloads, sessions, skew, upserts
 from eventloom.plans.serving import window
 from eventloom.tenancy import matches
 
@@ -154,5 +154,13 @@ def test_small_helpers(spark):
     assert window("d") == "true" and window("d", end="2018-01-02") == "d <= date'2018-01-02'"
     assert df.filter(matches("p", None)).count() == 4 and df.filter(matches("p", "x")).count() == 1
     rows = spark.createDataFrame([("a", float(i)) for i in range(1, 101)] + [("b", 7.0), ("c", None)], "k string, v double")
-    got = skew.value_at(rows, ["k"], "v", lambda n: F.bround((n - 1) * 95 / F.lit(100.0)).cast("bigint") + 1, coarse=10)
-    assert sorted(map(tuple, got.collect())) == [("a", 95.0), ("b", 7.0)]
+    got = skew.values_at(rows, ["k"], "v", {f"p{p}": lambda n, p=p: F.bround((n - 1) * p / F.lit(100.0)) + 1 for p in (0, 95, 100)}, coarse=10)
+    assert sorted(map(tuple, got.collect())) == [("a", 1.0, 95.0, 100.0), ("b", 7.0, 7.0, 7.0)]
+    assert skew.values_at(rows.limit(0), ["k"], "v", {"p": lambda n: n}, coarse=10).count() == 0
+
+
+def test_previous_row_across_hours(spark):
+    data = [("a", at(s), f"e{i}", 1) for i, s in enumerate((0, 10, 10, 3700, 11000))] + [(None, at(5), "x", 1), (None, at(7200), "y", 1), ("b", None, "z", 1)]
+    df = spark.createDataFrame(data, "k string, t timestamp_ntz, id string, previous int")
+    got = {r.id: r.previous_at for r in sessions.previous(df, ["k"], "t", "id").collect()}
+    assert got == {"e0": None, "e1": at(0), "e2": at(10), "e3": at(10), "e4": at(3700), "x": None, "y": at(5), "z": None}
