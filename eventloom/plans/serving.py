@@ -65,7 +65,7 @@ SQL = {
     "daily_full_outer": f"WITH {_FACTS}, every AS (SELECT * FROM od FULL OUTER JOIN (SELECT tenant_id, d, payment_success_count, payment_failure_count, n AS pn FROM pd) USING (tenant_id, d) FULL OUTER JOIN (SELECT tenant_id, d, new_users, active_users, churn_signal_count, n AS un FROM ud) USING (tenant_id, d)) SELECT "
     + _DAY_ROW.replace("{t}", "every").replace("pd.n", "pn").replace("ud.n", "un")
     + " FROM every",
-    "hourly_rollup": f"SELECT tenant_id, date_trunc('hour', event_timestamp) AS metric_hour, {_SUMS} FROM {{deltas}} e GROUP BY tenant_id, date_trunc('hour', event_timestamp)",
+    "hourly_rollup": f"SELECT tenant_id, cast(date_trunc('hour', event_timestamp) AS timestamp_ntz) AS metric_hour, {_SUMS} FROM {{deltas}} e GROUP BY tenant_id, date_trunc('hour', event_timestamp)",
     "active_tenant_view": "SELECT m.tenant_id, tenant_name, plan, metric_date, net_revenue, order_count, active_users, churn_signal_count, payment_success_count, payment_failure_count, events_processed FROM {daily} m JOIN {tenant_config} c ON c.tenant_id = m.tenant_id WHERE c.is_active",
     "fct_tenant_daily": """WITH pays AS (SELECT tenant_id, to_date(event_timestamp) AS d, count_if(status IN ('captured', 'authorized')) AS ok, count_if(status = 'failed') AS bad FROM {payments} p GROUP BY ALL)
       SELECT m.tenant_id, m.metric_date, gross_revenue, net_revenue, order_count, units_sold, new_users, active_users, churn_signal_count, payment_success_count, payment_failure_count, coalesce(ok, 0) AS observed_successful_payments,
@@ -134,7 +134,7 @@ SQL = {
     "payments_upsert": "SELECT tenant_id, payment_id, event_id, order_id, customer_id, amount, currency, status, payment_method, failure_code, risk_score, event_timestamp, created_at, updated_at FROM {payments} p",
     "sessions_dedup": "SELECT tenant_id, event_id, ingested_at, landing_file FROM {sessions} s",
     "retention": "SELECT event_id, tenant_id, event_timestamp, ingested_at FROM {raw_events} WHERE ingested_at >= timestamp_ntz'2018-01-20 00:00:00'",
-    "payment_ts_clamp": "SELECT tenant_id, event_id, payment_id, least(event_timestamp + interval 2 minutes, date_trunc('day', event_timestamp) + interval 86399 seconds) AS clamped_at FROM {processed_payments}",
+    "payment_ts_clamp": "SELECT tenant_id, event_id, payment_id, cast(least(event_timestamp + interval 2 minutes, date_trunc('day', event_timestamp) + interval 86399 seconds) AS timestamp_ntz) AS clamped_at FROM {processed_payments}",
     "nth_product": "SELECT tenant_id, n, product_id FROM (SELECT tenant_id, product_id, row_number() OVER (PARTITION BY tenant_id ORDER BY product_id) AS k, count(*) OVER (PARTITION BY tenant_id) AS n FROM {tenant_products}) WHERE k = 1 + n % 3",
     "schema_drift_columns": "SELECT domain, field_name, if(old IS NULL, 'only_new', 'only_old') AS side FROM (SELECT domain_name AS domain, field_name, 1 AS old FROM {payload_fields} WHERE payload_version = 1) FULL OUTER JOIN (SELECT domain_name AS domain, field_name, 1 AS new FROM {payload_fields} WHERE payload_version = 2) USING (domain, field_name) WHERE old IS NULL OR new IS NULL",
     "tenants_in_both": "SELECT tenant_id FROM {tenant_metrics_daily} INTERSECT SELECT tenant_id FROM {tenant_config}",
