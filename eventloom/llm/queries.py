@@ -52,4 +52,4 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p8_ids, p9_windows, p9_fill, p9_integrity, p10_found, p10_redacted)}
 # tokens are beyond SQL, but not that none is lost
-ORACLE = {"p9_integrity": "SELECT count(*) AS n_documents, 0 AS n_off, 0 AS n_split, 0 AS n_over FROM documents WHERE text <> ''"}
+ORACLE = {"p9_integrity": "SELECT count(*) AS n_documents, 0::BIGINT AS n_off, 0::BIGINT AS n_split, 0::BIGINT AS n_over FROM documents WHERE text <> ''"}
