@@ -87,7 +87,7 @@ _INITIAL = re.compile(rf"(?P<g>{_L}\.)(?: ?(?P<m>{_L}\.))? ?(?P<f>{_PARTICLE}{_W
 _UP = "A-ZÀ-ÖØ-ÞŁŚŻ"
 _TITLED = re.compile(rf"(?<![\w'’-])(?:(?:[{_UP}]\. )?[{_UP}][\w'’-]+(?: [{_UP}]\.)?,? {_PARTICLE}[{_UP}][\w'’-]|[{_UP}]\. {_PARTICLE}[{_UP}][\w'’-])")
 _WORD_BEFORE = re.compile(rf"(?<![\w'’-])({_W}|{_L}\.)(,?) (?:({_L}\.) )?$")
-_FUNCTION = frozenset("of the and in for to a by rows with from on at is was were shards partitions within minutes".split())
+_FUNCTION = frozenset("of the and in for to a by rows with from on at is was were within".split())
 
 # What commonly stands before a name, by kind, in five languages; single words, in use anywhere.
 CUES_BEFORE = {
@@ -116,36 +116,6 @@ CUES_AFTER = {
 }
 _CLASS_BEFORE = {w: kind for kind, words in reversed(CUES_BEFORE.items()) for w in words.split()}
 _CLASS_AFTER = {w: kind for kind, words in reversed(CUES_AFTER.items()) for w in words.split()}
-_HEAD = re.compile(rf"(?<!\w)(?P<pre>(?:an|am|im|zum|zur|auf|in|unter|hinter|bei)(?: (?:der|dem|den))? (?:{_L}[\w-]* )?)?(?P<road>(?:{_L}[\w-]*\.?)?)$", re.I)
-# Kinds of road that stand in front.
-FRENCH_ROADS = ("rue", "avenue", "boulevard", "chemin", "impasse", "place", "allée", "quai", "route", "cours", "passage", "square")
-SPANISH_ROADS = ("calle", "c/", "avenida", "avda", "plaza", "pza", "paseo", "camino", "ronda", "travesía", "carretera")
-_FRENCH_NUMBER = re.compile(r"(?<![\w.,:/#-])\d{1,4}(?: ?(?:bis|ter|quater))?,? $", re.I)
-_FRENCH = re.compile(rf"{_L}+ (?:(?:de la|du|des|de) |de l['’]|d['’])?{_L}[\w'’-]*", re.I)
-_NEXT_WORD = re.compile(rf" {_L}[\w'’-]*")
-_SPANISH = re.compile(rf"{_L}+[./]? ?(?:(?:de los|de las|de la|del|de) )?{_L}[\w'’-]*(?: {_L}[\w'’-]*){{0,2}}?(?:,? n\.?º |,? nº |, | )\d{{1,4}}(?: bis\b)?[A-Za-z]?\b", re.I)
-_W = rf"{_L}+(?:['’-]{_L}+)*"
-_PARTICLE = r"(?:(?:van der|van den|van|von|de la|del|da|di|de) )?"
-_PAIR = re.compile(rf"(?P<g>{_W})(?: (?P<m>{_L}\.))? (?P<f>{_PARTICLE}{_W})", re.I)
-_REVERSED = re.compile(rf"(?P<f>{_PARTICLE}{_W}), (?P<g>{_W}|{_L}\.)(?: (?P<m>{_L}\.))?", re.I)
-_INITIAL = re.compile(rf"(?P<g>{_L}\.)(?: ?(?P<m>{_L}\.))? ?(?P<f>{_PARTICLE}{_W})", re.I)
-_UP = "A-ZÀ-ÖØ-ÞŁŚŻ"
-_TITLED = re.compile(rf"(?<![\w'’-])(?:(?:[{_UP}]\. )?[{_UP}][\w'’-]+(?: [{_UP}]\.)?,? {_PARTICLE}[{_UP}][\w'’-]|[{_UP}]\. {_PARTICLE}[{_UP}][\w'’-])")
-_WORD_BEFORE = re.compile(rf"(?<![\w'’-])({_W}|{_L}\.)(,?) (?:({_L}\.) )?$")
-_FUNCTION = frozenset("of the and in for to a by rows with from on at is was were shards partitions within minutes".split())
-
-# What stands before and after names in letters, tickets, forms and logs, in five languages.
-CUES_BEFORE = (
-    "mr", "mrs", "ms", "miss", "dr", "prof", "herr", "herrn", "frau", "kundin", "kunde", "sr", "sra", "el sr", "la sra", "la clienta", "el cliente", "m", "mme", "mlle", "la cliente", "le client",
-    "signature on file:", "ship to:", "spoke with", "call back", "escalated by", "message for", "everything about", "parcel for", "refund of", "asked", "paid by", "customer", "reported by:", "signed:",
-    "forwarded by", "who is", "record owner:", "billing contact", "kyc:", "contact:", "contact :", "contacto:", "kontakt:", "rückfragen an", "empfänger:", "destinatario:", "destinataire :", "rappeler", "llamar a",
-    "colis de", "paquete de", "bitte", "ask for", "ask", "thanks,", "regards,", "cheers,", "user=\"", "name=\"", "name\":\"", "customer\":\"", "customer=\"", "to", "and", "both", "user=", "free text: \"", "cc", "from", "for", "with", "by",
-)
-CUES_AFTER = (
-    "asked again", "moved to", "gave", "is still at", "wrote from", "asked for the export", "no idea", "card ending", "says", "wants", "meldet", "bestätigt", "ist umgezogen", "schrieb von", "dice que", "sigue en",
-    "escribió desde", "presentó", "signale", "a écrit", "a fourni", "est resté", "unter", "they sent", "they appear", "both see", "phone=", "regarding", "zurückrufen", "delivered", "social security", "ssn", "soc. sec",
-    "passport", "nino", "national insurance", "at", "on", "al", "au", "statt", "for another",
-)
 _HEAD = re.compile(rf"(?<![\w'’-])({_W}|{_L}\.),?(?: {_L}\.)? {_PARTICLE}{_W}[*_\"',;.?)<>/b]*\s?$")
 _BEFORE = re.compile(r"(?<!\w)([^\W\d]+)(\.?)([\"']?[ \n]*[:=>]*[ \n]*[*_<>\"'(\[|]*(?:b>|p>|td>|li>|i>|strong>|span>)?)$")
 _AFTER = re.compile(r"[*_\"')\]<>/]*(?:b>|br/?>|td>|i>|strong>|span>)?[ ,;:.?!(]*([^\W\d]+)(?!\w)")
