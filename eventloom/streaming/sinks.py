@@ -65,6 +65,9 @@ class Files:
         finally:
             stream.close()
 
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(f"{self.folder}/{name}"))
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.folder}/{name}"), True)
 
@@ -91,7 +94,8 @@ class KeyedTable:
         return json.loads(self.manifests.read(f"{max(done)}.json")) if done else {"upto": -1, "generations": {}}
 
     def _batches(self, upto: int) -> list[int]:
-        return sorted(b for n in self.files.names("changes") if n.startswith("batch_") and (b := int(n[6:])) > upto)
+        """Batches written to the end and not folded in yet."""
+        return sorted(b for n in self.files.names("changes") if n.startswith("batch_") and (b := int(n[6:])) > upto and self.files.exists(f"changes/{n}/_SUCCESS"))
 
     def _settled(self, df: DataFrame) -> DataFrame:
         return (upserts.first if self.first_wins else upserts.last)(df, self.keys, ["_batch"])
@@ -137,9 +141,18 @@ class KeyedTable:
         rows = self._settled(changes if base is None else base.unionByName(changes))
         upto = batches[-1]
         rows.withColumn("_part", part).write.mode("overwrite").partitionBy("_part").parquet(f"{self.folder}/base/generation_{upto}")
-        self.manifests.write(f"{upto}.json", json.dumps({"upto": upto, "generations": m["generations"] | {p: upto for p in touched}}))
+        now = m["generations"] | {p: upto for p in touched}
+        self.manifests.write(f"{upto}.json", json.dumps({"upto": upto, "generations": now}))
         for b in batches:
             self.files.delete(f"changes/batch_{b}")
+        # what neither this manifest nor the one before it names has no readers
+        used = {f"generation_{g}" for g in (*now.values(), *m["generations"].values())}
+        for name in self.files.names("base"):
+            if name not in used:
+                self.files.delete(f"base/{name}")
+        for name in self.manifests.names():
+            if name.endswith(".json") and int(name[:-5]) not in (upto, m["upto"]):
+                self.manifests.delete(name)
 
 
 def append_sink(folder: str) -> Write:

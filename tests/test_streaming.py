@@ -115,6 +115,8 @@ def test_keyed_table_in_batches_with_retries_and_compaction(spark, tmp_path, fir
     make().compact()
     assert {r.k: r.v for r in make().current().collect()} == want
     assert make()._manifest()["generations"] == {"2024-01-01": 2, "2024-01-02": 1, "none": 2}, "an untouched partition stays in its generation"
+    (tmp_path / "t" / "changes" / "batch_9").mkdir(parents=True)  # a batch that broke off
+    assert {r.k: r.v for r in make().current().collect()} == want
     sinks.stage(rows(("z", None, 1)), str(tmp_path / "s"))
     sinks.stage(rows(("y", None, 1)), str(tmp_path / "s"))
     assert [r.k for r in spark.read.parquet(str(tmp_path / "s")).collect()] == ["y"]
