@@ -145,6 +145,19 @@ def test_rolling_fills_days_and_takes_latest(spark):
     assert rolling.trailing(rolling.daily_values(df.limit(0))).count() == 0
 
 
+def test_rolling_never_broadcasts_the_calendar(spark):
+    """Two rows make a calendar of any length, which no estimate sees; days before 1970, gaps and ends of buckets included."""
+    d = lambda n: dt.date(1969, 11, 1) + dt.timedelta(days=n)
+    values = {"a": {n: 2**i for i, n in enumerate((0, 1, 29, 30, 58, 59, 60, 61, 88, 89, 90, 91, 118, 150, 400))}, "b": {-25_000: 3, 25_000: 5}, "c": {7: 9}}
+    data = [(t, d(n), Decimal(v), at(1)) for t, days in values.items() for n, v in days.items()]
+    df = spark.createDataFrame(data, "tenant_id string, metric_date date, net_revenue decimal(18,2), updated_at timestamp_ntz")
+    rolled = rolling.trailing(rolling.daily_values(df))
+    got = sorted((r.entity, r.day, int(r.sum_7), int(r.sum_30)) for r in rolled.collect())
+    total = lambda days, n, width: sum(v for k, v in days.items() if n - width < k <= n)
+    assert got == sorted((t, d(n), total(days, n, 7), total(days, n, 30)) for t, days in values.items() for n in range(min(days), max(days) + 1))
+    assert "Broadcast" not in rolled._jdf.queryExecution().executedPlan().toString()
+
+
 CONTRACT = [("users", 1, "action", "string", True), ("users", 1, "n", "number", False), ("users", 2, "action", "string", True), ("users", 2, "kind", "string", False), ("payments", 1, "amount", "number", True)]
 
 
