@@ -19,6 +19,7 @@ import re
 from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
@@ -34,6 +35,8 @@ NEAR = 3
 MAX_STREET_WORDS = 6
 MAX_GERMAN_ROAD = 120
 
+# Patterns that pass whole texts begin with a class of characters, by which the search skips what can't begin a match, and look
+# back from behind the first one; runs of letters that nothing shorter could follow are possessive.
 _L = r"[^\W\d_]"
 _SEP = r"[   .\-/]"
 _AT_WORDS = re.compile(r" ?\[at\] ?| ?\(at\) ?| at (?=[\w-]+ dot )", re.I)
@@ -50,6 +53,8 @@ _PLANS = {
     "nine": rf"[5-9]\d\d(?:{_SEP}?\d{{3}}{_SEP}?\d{{3}}|{_SEP}\d\d{_SEP}(?:\d\d{_SEP}\d\d|\d{{4}}))",
 }
 _PHONE = re.compile(r"(?<![\w.#/+(-])(?<!\d,)(?:" + "|".join(f"(?P<{k}>{v})" for k, v in _PLANS.items()) + r")(?![\w])(?![.,/:-]\d)")
+# where nine digits can be: no number reaches beyond such a run
+_PHONE_RUN = re.compile(rf"[\d+(][\d+(){_SEP[1:]}{{8,}}")
 _IDS = {
     "ssn": r"\d{3}(?P<sep>[-. ]?)\d{2}(?P=sep)\d{4}",
     "nino": r"[A-Za-z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-Da-d]",
@@ -67,9 +72,9 @@ _ID_REST = re.compile(r"(?:\.?(?:[ /-](?:no|nr|number|id|n|nº|de|identidad|secu
 _ID_LABEL = re.compile(rf"\b(?:{'|'.join(map(re.escape, ID_WORDS))}){_ID_REST.pattern}$", re.I)
 _ROADS = r"street|st|road|rd|avenue|ave|boulevard|blvd|lane|ln|drive|dr|way|court|ct|place|pl|terrace|ter|close|crescent|square|sq|row|hill|hollow|bend|parkway|pkwy"
 _ROAD = frozenset(_ROADS.split("|"))
-_HOUSE = re.compile(rf"(?<![\w.:/#-])(?<!\d,)\d{{1,5}}[A-Za-z]?(?:-\d{{1,5}}[A-Za-z]?)? (?={_L})(?=(?:[\w'’-]+ ){{1,6}}(?:{_ROADS})\b)", re.I)
+_HOUSE = re.compile(rf"\d(?<![\w.:/#-]\d)(?<!\d,\d)\d{{0,4}}[A-Za-z]?(?:-\d{{1,5}}[A-Za-z]?)? (?={_L})(?=(?:[\w'’-]++ ){{1,6}}(?:{_ROADS})\b)", re.I)
 _WORDS = re.compile(rf"{_L}[\w'’-]*")
-_GERMAN = re.compile(r"(?<=[a-zA-Zß.]) \d{1,4}[a-z]?\b(?:-\d{1,4}[a-z]?\b)?", re.I)
+_GERMAN = re.compile(r" (?<=[a-zA-Zß.] )\d{1,4}[a-z]?\b(?:-\d{1,4}[a-z]?\b)?", re.I)
 _GERMAN_ROADS = ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ufer", "graben", "werft", "damm", "ring", "steig", "markt", "chaussee", "promenade", "bach", "berg", "brücke", "siedlung", "anger")
 _GERMAN_HEAD = re.compile(rf"(?<!\w)(?P<pre>(?:an|am|im|zum|zur|auf|in|unter|hinter|bei)(?: (?:der|dem|den))? (?:{_L}[\w-]* )?)?(?P<road>(?:{_L}[\w-]*\.?)?)$", re.I)
 # Kinds of road that stand in front.
@@ -79,14 +84,17 @@ _FRENCH_NUMBER = re.compile(r"(?<![\w.,:/#-])\d{1,4}(?: ?(?:bis|ter|quater))?,?
 _FRENCH = re.compile(rf"{_L}+ (?:(?:de la|du|des|de) |de l['’]|d['’])?{_L}[\w'’-]*", re.I)
 _NEXT_WORD = re.compile(rf" {_L}[\w'’-]*")
 _SPANISH = re.compile(rf"{_L}+[./]? ?(?:(?:de los|de las|de la|del|de) )?{_L}[\w'’-]*(?: {_L}[\w'’-]*){{0,2}}?(?:,? n\.?º |,? nº |, | )\d{{1,4}}(?: bis\b)?[A-Za-z]?\b", re.I)
-_W = rf"{_L}+(?:['’-]{_L}+)*"
+_W_REST = rf"{_L}*+(?:['’-]{_L}++)*+"
+_W = _L + _W_REST
 _PARTICLE = r"(?:(?:van der|van den|van|von|de la|del|da|di|de) )?"
 _PAIR = re.compile(rf"(?P<g>{_W})(?: (?P<m>{_L}\.))? (?P<f>{_PARTICLE}{_W})", re.I)
 _REVERSED = re.compile(rf"(?P<f>{_PARTICLE}{_W}), (?P<g>{_W}|{_L}\.)(?: (?P<m>{_L}\.))?", re.I)
 _INITIAL = re.compile(rf"(?P<g>{_L}\.)(?: ?(?P<m>{_L}\.))? ?(?P<f>{_PARTICLE}{_W})", re.I)
+_INITIAL_ONLY = (("initial", _INITIAL),)
+_NAME_FORMS = (("pair", _PAIR), ("reversed", _REVERSED), *_INITIAL_ONLY)
 _UP = "A-ZÀ-ÖØ-ÞŁŚŻ"
-_TITLED = re.compile(rf"(?<![\w'’-])(?:(?:[{_UP}]\. )?[{_UP}][\w'’-]+(?: [{_UP}]\.)?,? {_PARTICLE}[{_UP}][\w'’-]|[{_UP}]\. {_PARTICLE}[{_UP}][\w'’-])")
-_WORD_BEFORE = re.compile(rf"(?<![\w'’-])({_W}|{_L}\.)(,?) (?:({_L}\.) )?$")
+_TITLED = re.compile(rf"[{_UP}](?<![\w'’-][{_UP}])(?:(?:\. [{_UP}])?[\w'’-]++(?: [{_UP}]\.)?,? {_PARTICLE}[{_UP}][\w'’-]|\. {_PARTICLE}[{_UP}][\w'’-])")
+_WORD_BEFORE = re.compile(rf"({_L}(?<![\w'’-]{_L})(?:{_W_REST}|\.))(,?) (?:({_L}\.) )?$")
 _FUNCTION = frozenset("of the and in for to a by rows with from on at is was were within".split())
 
 # What commonly stands before a name, by kind, in five languages; single words, in use anywhere.
@@ -116,19 +124,34 @@ CUES_AFTER = {
 }
 _CLASS_BEFORE = {w: kind for kind, words in reversed(CUES_BEFORE.items()) for w in words.split()}
 _CLASS_AFTER = {w: kind for kind, words in reversed(CUES_AFTER.items()) for w in words.split()}
-_HEAD = re.compile(rf"(?<![\w'’-])({_W}|{_L}\.),?(?: {_L}\.)? {_PARTICLE}{_W}[*_\"',;.?)<>/b]*\s?$")
-_BEFORE = re.compile(r"(?<!\w)([^\W\d]+)(\.?)([\"']?[ \n]*[:=>]*[ \n]*[*_<>\"'(\[|]*(?:b>|p>|td>|li>|i>|strong>|span>)?)$")
+_HEAD = re.compile(rf"({_L}(?<![\w'’-]{_L})(?:{_W_REST}|\.)),?(?: {_L}\.)? {_PARTICLE}{_W}[*_\"',;.?)<>/b]*\s?$")
+_BEFORE = re.compile(r"([^\W\d](?<!\w[^\W\d])[^\W\d]*+)(\.?+)([\"']?+[ \n]*+[:=>]*+[ \n]*+[*_<>\"'(\[|]*+(?:b>|p>|td>|li>|i>|strong>|span>)?+)$")
 _AFTER = re.compile(r"[*_\"')\]<>/]*(?:b>|br/?>|td>|i>|strong>|span>)?[ ,;:.?!(]*([^\W\d]+)(?!\w)")
 _ENDING = re.compile(r"(?:ed|ing|ly|ion|ment|able|ous|ers?|s|t|en|te|ck|d|k)$")
-_MAIL_AFTER = re.compile(r"[*_\"')]*(?:</b>)?(?:<br/>)?[ ,;:/(<]*[\w.+%-]+ ?(?:@|\[at\]|\(at\)| at [\w-]+ dot )", re.I)
+_MAIL_AFTER = re.compile(r"[*_\"')]*(?:</b>)?(?:<br/>)?[ ,;:/(<]*[\w.+%-]++ ?(?:@|\[at\]|\(at\)| at [\w-]+ dot )", re.I)
 _PHONE_AFTER = re.compile(r"[*_\"')]*(?:</b>)?(?:<br/>)?[ ,;:/(\n]*(?:on |at |unter |al |au |phone=)?(?:\+|\(|00|0|1[ -])?\d[\d (). -]{7,}")
 _HOUSE_AFTER = re.compile(r"(?:</b>)?(?:<br/>)?[,;/]? ?\n?\d{1,5}[A-Za-z]? ")
 _SPANISH_AFTER = re.compile(rf"(?:</b>)?(?:<br/>)?[,;/]? ?\n?(?:{'|'.join(map(re.escape, SPANISH_ROADS))})(?!\w)", re.I)
 _GERMAN_AFTER = re.compile(rf"(?:</b>)?(?:<br/>)?[,;/]? ?\n?(?:(?:am|an|auf|im|zum|zur)(?: (?:der|dem|den))? )?(?:{_L}[\w-]* )?{_L}*(?:{'|'.join(map(re.escape, _GERMAN_ROADS))}) \d", re.I)
 _SIGN_OFF = re.compile(r"(?:--|grüßen|regards|saludo|saludos|cordialement|wishes|thanks|dank|sincerely|atentamente|merci|gracias)[,.]?[ \r]*\n+[ >*]*$", re.I)
-# What commonly stands before a phone number, and before numbers of other kinds.
-_PHONE_CUE = re.compile(r"(?:phone|telephone|tel\w*|fax|mobile|cell|handy|hotline|ring|rang|text|sms|call|dial|number is|number|nummer|nummer ist|rufnummer|número(?: \w+)? es|teléfono|móvil|numéro(?: \w+)? est|téléphone|portable|appelez|llame|電話|extension|under|unter|reach)(?: (?:is|ist|es|est|at|on|al|au|le|under|unter|me))*[ :=`\"()]*$", re.I)
-_NUMBER_CUE = re.compile(r"(?:offsets?|epoch|ts=|order|invoice|#|id=|seq=|ids?|records?|rows?|sku|item|pallet|tracking no\.|ticket|batch|partition|version|ref|no\.|checksum|build|page|section|isbn|eur|usd|gbp|[$€£])[ :=(\"]*$", re.I)
+_NEXT_CHARS = re.compile(r"\W*(\w+)")
+# What commonly stands before a phone number, what may stand between, and what stands before numbers of other kinds.
+_PHONE_WORDS = "phone telephone fax mobile cell handy hotline ring rang text sms call dial nummer rufnummer teléfono móvil téléphone portable appelez llame 電話 extension under unter reach number".split()
+_PHONE_LINKS = "is ist es est at on al au le under unter me".split()
+_PHONE_CUE = re.compile(rf"(?:{'|'.join(_PHONE_WORDS)}|tel\w*|número(?: \w+)? es|numéro(?: \w+)? est)(?: (?:{'|'.join(_PHONE_LINKS)}))*[ :=`\"()]*$", re.I)
+_NUMBER_WORDS = "offset offsets epoch ts= order invoice # id= seq= id ids record records row rows sku item pallet ticket batch partition version ref no. checksum build page section isbn eur usd gbp $ € £".split()
+_NUMBER_CUE = re.compile(rf"(?:{'|'.join(map(re.escape, _NUMBER_WORDS))})[ :=(\"]*$", re.I)
+# how text before a number ends if one of them stands there; in texts of other letters upper and lower case are more than two
+_PHONE_ENDS, _NUMBER_ENDS = (*_PHONE_WORDS, *_PHONE_LINKS), tuple(w.rstrip("=") for w in _NUMBER_WORDS)
+
+
+def _phone_cue(before: str) -> bool:
+    low = before.lower()
+    return not (low.isascii() and "tel" not in low and not low.rstrip(" :=`\"()\n").endswith(_PHONE_ENDS)) and bool(_PHONE_CUE.search(before))
+
+
+def _number_cue(before: str) -> bool:
+    return not (before.isascii() and not before.lower().rstrip(" :=(\"\n").endswith(_NUMBER_ENDS)) and bool(_NUMBER_CUE.search(before))
 
 
 def lower(text: str) -> str:
@@ -196,7 +219,9 @@ class Proposer:
                 yield Candidate(s, e, "email", ["e", f"e:{form}", f"e:dots{min(domain.group().count('.'), 3)}"])
 
     def phones(self, text: str) -> Iterator[Candidate]:
-        for m in _PHONE.finditer(text):
+        # a number and the two characters behind it that decide whether it ends there
+        runs = [r.span() for r in _PHONE_RUN.finditer(text) if sum(map(str.isdigit, r.group())) >= 9]
+        for m in (m for first, end in runs for m in _PHONE.finditer(text, first, end + 2)):
             span = m.group()
             digits = sum(map(str.isdigit, span))
             if not 9 <= digits <= 14:
@@ -215,10 +240,10 @@ class Proposer:
             if word:
                 kind = _CLASS_BEFORE.get(lower(word.group(1)))
                 f += [f"p:{form}:word:{kind or _case(word.group(1))}"] + ([f"p:{form}:word:{lower(word.group(1))}"] if kind else [])
-            if _PHONE_CUE.search(before):
+            if _phone_cue(before):
                 f.append("p:cue")
                 f.append(f"p:cue:{form}")
-            if _NUMBER_CUE.search(before):
+            if _number_cue(before):
                 f.append("p:counter")
             if _ID_LABEL.search(before):
                 f.append("p:id")
@@ -308,7 +333,7 @@ class Proposer:
                 if role == "name":
                     starts.add(s)
                     at = max(0, s - 40)
-                    before = _WORD_BEFORE.search(text[at:s])
+                    before = _WORD_BEFORE.search(text[at:s]) if s and text[s - 1] in " \n" else None
                     if before:
                         starts.add(at + before.start())
                         if before.group(3):
@@ -331,9 +356,12 @@ class Proposer:
                     yield from self.spanish(text, s)
         seen: set[tuple[int, int]] = set()
         for s in sorted(starts):
-            for form, pattern in (("pair", _PAIR), ("reversed", _REVERSED), ("initial", _INITIAL)):
+            left = text[s - 1] if s else " "
+            if left.isalnum():
+                continue
+            for form, pattern in _INITIAL_ONLY if left in "-_'’@" else _NAME_FORMS:
                 m = pattern.match(text, s)
-                if not m or m.span() in seen or (s and (text[s - 1].isalnum() or text[s - 1] in "-_'’@" and form != "initial")):
+                if not m or m.span() in seen:
                     continue
                 seen.add(m.span())
                 yield Candidate(m.start(), m.end(), "name", self._name_features(text, m, form))
@@ -343,14 +371,14 @@ class Proposer:
         given, family = m.group("g"), m.group("f")
         g, fam = lower(given), lower(family)
         pieces = fam.split("-")
-        in_g = g in self.given or all(p in self.given for p in g.split("-"))
-        in_f = fam in self.family or any(p in self.family for p in pieces)
+        in_g = g in self.given or ("-" in g and all(p in self.given for p in g.split("-")))
+        in_f = fam in self.family or (len(pieces) > 1 and any(p in self.family for p in pieces))
         swapped = g in self.family or fam in self.given
         before, after = text[max(0, s - 30) : s], text[e : e + 48]
         cue, tail = _BEFORE.search(before), _AFTER.match(after)
         opened = _CLASS_BEFORE.get(lower(cue.group(1))) if cue else None
         followed = _CLASS_AFTER.get(lower(tail.group(1))) if tail else None
-        sign = bool(_SIGN_OFF.search(before))
+        sign = before.rstrip(" >*").endswith("\n") and bool(_SIGN_OFF.search(before))
         mail = bool(_MAIL_AFTER.match(after))
         if not (in_g or in_f or opened or followed or sign or mail) and before and before[-1] != "\n":
             return self._bare_features(form, m, before, after)
@@ -379,7 +407,7 @@ class Proposer:
             f += ["n:tail", f"n:tail:{followed}", f"n:tail:{followed}:{known}", f"n:tail:{followed}:{case}", f"n:tail:{lower(tail.group(1))}"]
         else:
             f.append(f"n:after:{_case(tail.group(1)) if tail else '$'}:{known}")
-        nxt = re.match(r"\W*(\w+)", after)
+        nxt = _NEXT_CHARS.match(after)
         f.append(f"n:next:{'word' + _case(nxt.group(1)) if nxt else '$'}" if after[:1] == " " else f"n:next:{after[:1] or '$'}")
         if mail:
             f.append("n:mail")
@@ -473,11 +501,11 @@ class Model:
 
     def clusters(self, text: str) -> Iterator[list[Candidate]]:
         """Runs of candidates that overlap or are neighbours."""
-        w = self.weights
+        weight, none = self.weights.get, repeat(0.0)
         run: list[Candidate] = []
         reach = -1
         for c in self.proposer.candidates(text):
-            c.score = sum([w.get(f, 0.0) for f in c.features])
+            c.score = sum(map(weight, c.features, none))
             if run and c.start - reach > NEAR:
                 yield run
                 run = []
